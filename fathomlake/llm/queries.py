@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .packing import pack_documents
 from .quality_rules import quality
+from .token_files import read_token_files, write_token_files
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file, which the operators take as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,15 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = write_token_files(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end=2)
+    return read_token_files(index)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=1)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("failed")
 
@@ -27,5 +45,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op8_quality_rules, op10_exact_dedup)
+    f.__name__: f for f in (op2_mix_sources, op4_token_files, op5_best_fit_packing, op8_quality_rules, op10_exact_dedup)
 }
