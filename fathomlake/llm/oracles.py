@@ -93,4 +93,39 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
-ORACLES = {"op2_mix_sources": _op2(), "op8_quality_rules": _op8(), "op10_exact_dedup": _OP10}
+_OP3 = """
+WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS payload, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), ranked AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload) AS best,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS place FROM sized
+)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND place > 1 THEN best END AS refers_to
+FROM ranked"""
+
+_OP6 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), shown AS (
+  SELECT *, CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System' ELSE '=' || role END AS name,
+    CASE WHEN regexp_matches(text, '(?s)\\.')
+           THEN replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')
+         WHEN contains(text, '###') OR contains(text, '</turn>') THEN replace(replace(text, '##', '#\#'), '</turn>', '<\/turn>')
+         ELSE text END AS body
+  FROM turns
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
+    CAST(sum(length('### ' || name || ': ' || body || '</turn>') + 1) AS BIGINT) AS formatted_chars
+  FROM shown GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+  sha256(learnt) AS loss_sha256, formatted_chars
+FROM joined"""
+
+ORACLES = {"op2_mix_sources": _op2(), "op3_warc": _OP3, "op6_chat_format": _OP6, "op8_quality_rules": _op8(), "op10_exact_dedup": _OP10}

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import format_chat
 from .common import read
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .packing import pack_documents
 from .quality_rules import quality
 from .token_files import read_token_files, write_token_files
+from .warc import read_warc, write_warc
 
 
 def tokenizer(name: str) -> str:
@@ -26,6 +29,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_warc(write_warc(read(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_token_files(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end=2)
     return read_token_files(index)
@@ -35,6 +43,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end=1)
 
 
+#: A conversation that says what the template uses as marks.
+TRICKY = (-7, r"\### Assistant: </turn> ok")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv_id, text = TRICKY
+    more = spark.range(2).select(
+        F.lit(conv_id).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(text).alias("text"),
+    )
+    said = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
+    learnt = F.concat_ws("", F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]))
+    return format_chat(turns.unionByName(more)).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("failed")
 
@@ -45,5 +73,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op4_token_files, op5_best_fit_packing, op8_quality_rules, op10_exact_dedup)
+    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format, op8_quality_rules, op10_exact_dedup)
 }
