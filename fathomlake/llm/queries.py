@@ -12,6 +12,7 @@ from .common import read
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .packing import pack_documents
+from .pii import KINDS, find_pii, written_spans
 from .quality_rules import quality
 from .token_files import read_token_files, write_token_files
 from .warc import read_warc, write_warc
@@ -67,11 +68,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("failed")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents")).select(
+        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(written_spans(KINDS), 256).alias("base_sha256"), written_spans().alias("spans"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(read(spark, sf_dir, "documents"))
     return groups.withColumnRenamed("text_digest", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format, op8_quality_rules, op10_exact_dedup)
+    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format, op8_quality_rules, op9_pii, op10_exact_dedup)
 }
