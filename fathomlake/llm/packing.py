@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,19 +63,23 @@ def sum_of_squares(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarr
 def pieces_of(docs: DataFrame, tokenizer: str, end: int | None, room: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: whole, or cut every ``room`` ids if it is longer."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                rows = []
-                for doc_id, ids in zip(batch["i"].iloc[k : k + 256], code.encode(batch["t"].iloc[k : k + 256].tolist(), end), strict=True):
+            for k in range(0, batch.num_rows, 256):
+                some, rows = batch.slice(k, 256), []
+                for doc_id, ids in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist(), end), strict=True):
                     for piece, at in enumerate(range(0, len(ids), 4 * room)):
                         part = ids[at : at + 4 * room]
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), piece, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = zip(*rows, strict=True) if rows else [()] * 5
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.mapInPandas(cut, _PIECES)
+    return rows.mapInArrow(cut, _PIECES)
 
 
 def pack_documents(

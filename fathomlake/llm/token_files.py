@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,7 +68,7 @@ class Writer:
     def __init__(self, uri: str, bits: int):
         system, path = file_system(uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        self._out, self._bits = system.open_output_stream(path), bits
+        self._out, self._bits = system.open_output_stream(path, compression=None), bits
         self._out.write(MAGIC)
         self._rest, self._held, self._docs, self._offsets, self.n_ids = [], 0, [], [], 0
 
@@ -160,28 +160,28 @@ def write_token_files(
     scratch = Scratch(docs.sparkSession, "tokens")
     folder = to or scratch.path("files")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, writer = TaskContext.get().partitionId(), None
+        part, writer, n = TaskContext.get().partitionId(), None, 0
         code = encoder(tokenizer)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                found = code.encode(batch["t"].iloc[k : k + 256].tolist(), end)
-                if writer is None and found:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                if writer is None:
                     file = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tok"
-                    writer, n = Writer(file, bits_for(code.vocabulary)), 0
-                for doc_id, ids in zip(batch["i"].iloc[k : k + 256], found, strict=True):
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), np.frombuffer(ids, "<u4"))
+                    writer = Writer(file, bits_for(code.vocabulary))
+                for doc_id, ids in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist(), end), strict=True):
+                    writer.add(doc_id, np.frombuffer(ids, "<u4"))
                     n += 1
         if writer is not None:
             writer.close()
-            yield pd.DataFrame({"part": [part], "file": [file], "n_docs": [n], "n_ids": [writer.n_ids]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "file": [file], "n_docs": [n], "n_ids": [writer.n_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange("i", "h").sortWithinPartitions("i", "h", "t").select(F.col("i"), "t")
-    index = scratch.cut(rows.mapInPandas(write, "part long, file string, n_docs long, n_ids long"), "index")
+    index = scratch.cut(rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "index")
     # one row per file; files are as many as partitions, never as documents
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return scratch.cut(index.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long")), "starts")
@@ -190,27 +190,28 @@ def write_token_files(
 def read_token_files(index: DataFrame) -> DataFrame:
     """Per document of the files of an index: doc_id, start, n_tokens, ids_crc32."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, start in zip(batch["file"], batch["start"], strict=True):
+            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 reader, rows = Reader(file), []
                 for doc_id, first, n, parts in reader:
                     crc = 0
                     for part in parts:
-                        crc = zlib.crc32(part.tobytes(), crc)
+                        crc = zlib.crc32(part, crc)
                     rows.append((doc_id, start + first, n, crc))
                     if len(rows) == 10_000:
-                        yield _frame(rows)
+                        yield _batch(rows)
                         rows = []
                 reader.close()
-                yield _frame(rows)
+                yield _batch(rows)
 
     files = index.count()
-    return index.select("part", "file", "start").repartitionByRange(max(1, files), "part").mapInPandas(
+    return index.select("part", "file", "start").repartitionByRange(max(1, files), "part").mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-    return frame.astype({"doc_id": "Int64"})
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ("doc_id", "start", "n_tokens", "ids_crc32")
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)

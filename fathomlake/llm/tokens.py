@@ -10,8 +10,9 @@ from functools import lru_cache
 
 #: White space other than space and newline, as any library may define it.
 _ODD_SPACE = [c for c in map(chr, range(1, 0x3001)) if (c.isspace() or c == "᠎") and c not in " \n"]
-#: Words of Latin-1 letters, with newlines before them and a full stop or comma after them at most.
-_PLAIN = re.compile(r"(\n{0,2})([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+#: Words of Latin-1 letters, with newlines before them at most.
+_PLAIN = re.compile(r"(\n{0,2})([A-Za-zÀ-ÖØ-öø-ÿ]+)").fullmatch
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: How byte-level tokenizers spell bytes: printable ones as themselves, the rest from U+0100 on.
 _SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
@@ -21,12 +22,17 @@ class _Words(dict):
 
     def __init__(self, encode, room: int):
         self._encode, self._room, self._older = encode, room, {}
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= self._room:
             self._older = dict(self)
             self.clear()
-        found = self[part] = self._older.get(part) or self._encode(part)
+        found = self._older.get(part)
+        if found is None:
+            # a word before a full stop or comma is mostly known without it
+            found = self[part[:-1]] + self.marks[part[-1]] if part[-1] in self.marks and part[-2:-1].isalpha() else self._encode(part)
+        self[part] = found
         return found
 
 
@@ -40,7 +46,7 @@ class Encoder:
     text. ``room`` bounds the memory; more distinct words than that only cost time.
     """
 
-    def __init__(self, path: str, by_words: bool = True, room: int = 400_000):
+    def __init__(self, path: str, by_words: bool = True, room: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,10 +66,13 @@ class Encoder:
         if len(pieces) != 1 or not pieces[0].lower().endswith("ab"):
             return
         self._lead, self._lower = pieces[0][:-2], pieces[0].endswith("ab")
-        self._marks = {mark: self._encode_whole(mark) for mark in ("", ".", ",", "\n")}
+        self._newline = self._encode_whole("\n")
+        self._words.marks = {mark: self._encode_whole(mark) for mark in ".,"}
         words = ("ab", "Wörter", "ÀÉß,", "The.", "ÿ", "x,", "hundreds")
-        if any(self._encode_part(lead + w) != self._encode_whole((lead or " ").replace("\n\n", "") + w) for w in words for lead in ("", "\n", "\n\n")):
+        if any(self._words[lead + w] != self._encode_whole((lead or " ").replace("\n\n", "") + w) for w in words for lead in ("", "\n", "\n\n")):
             self._lead = None
+            self._words.marks = {}
+        self._words.clear()
 
     @property
     def vocabulary(self) -> int:
@@ -76,17 +85,18 @@ class Encoder:
     def _encode_part(self, part: str) -> bytes:
         """A part stands for itself after a space, or after the newline that it begins with; two
         newlines mark the first part of a text, which stands for itself alone."""
-        plain = _PLAIN(part) if self._lead is not None else None
-        if plain:
-            start, word, mark = plain.groups()
-            if mark:
-                return self._words[start + word] + self._marks[mark]
-            if self._lower:
-                word = word.lower()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(_SPELT)
-            ids = [t.id for t in self._tokenizer.model.tokenize(word if start else self._lead + word)]
-            return (self._marks["\n"] if start == "\n" else b"") + struct.pack(f"<{len(ids)}I", *ids)
+        if self._lead is not None:
+            start, word = "", part
+            if not (part.isascii() and part.isalpha()):
+                plain = _PLAIN(part)
+                start, word = plain.groups() if plain else ("", "")
+            if word:
+                if self._lower:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_SPELT)
+                ids = [t.id for t in self._tokenizer.model.tokenize(word if start else self._lead + word)]
+                return (self._newline if start == "\n" else b"") + (_PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids))
         return self._encode_whole(part[2:] if part[:2] == "\n\n" else part if part[:1] == "\n" else " " + part)
 
     def encode(self, texts: Sequence[str], end: int | None = None) -> list[bytes]:
