@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chat
 from .common import read
 from .exact_dedup import exact_groups
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .packing import pack_documents
 from .pii import KINDS, find_pii, written_spans
@@ -64,6 +65,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("failed")
 
@@ -81,5 +86,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format, op8_quality_rules, op9_pii, op10_exact_dedup)
+    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format, op7_jaccard_join, op8_quality_rules, op9_pii, op10_exact_dedup)
 }

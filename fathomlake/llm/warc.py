@@ -183,7 +183,8 @@ def read_warc(index: DataFrame, keep_payload: bool = False) -> DataFrame:
             opened.close()
 
     places = index.select("file", "offset", "length")
-    return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInPandas(
+    parts = (index.agg(F.sum("length")).first()[0] or 0) // (8 * RANGE) + 1  # tasks by bytes to read, not by rows of the index
+    return places.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInPandas(
         read, _ROWS + (", payload string" if keep_payload else "")
     )
 
