@@ -73,13 +73,18 @@ def shingles(text: str, size: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    take = min(size, n)
-    found = np.full(n - take + 1, take, np.uint64)
-    for k in range(take):
-        found = found * np.uint64(0xD6E8FEB86659FD93) + hashes[k : n - take + 1 + k]
+    return np.unique(shingle_sequence(words, min(size, n)))
+
+
+def shingle_sequence(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the ``size``-word shingles in order; there are at least so many words."""
+    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    n = len(words) - size + 1
+    found = np.full(n, size, np.uint64)
+    for k in range(size):
+        found = found * np.uint64(0xD6E8FEB86659FD93) + hashes[k : n + k]
         found ^= found >> np.uint64(32)
-    return np.unique(_mix(found, take))
+    return _mix(found, size)
 
 
 class PartEnum:

@@ -11,6 +11,7 @@ from .chat_format import format_chat
 from .common import read
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
+from .license_scan import scan_licenses
 from .mixing import mix
 from .packing import pack_documents
 from .pii import KINDS, find_pii, written_spans
@@ -26,6 +27,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -86,5 +91,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format, op7_jaccard_join, op8_quality_rules, op9_pii, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format,
+        op7_jaccard_join, op8_quality_rules, op9_pii, op10_exact_dedup,
+    )
 }
