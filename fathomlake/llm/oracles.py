@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import MOST, SEED, SHARE, WEIGHTS
+from .pii import DISCLOSED, KINDS, NEAR, PLAIN, SUPPORT
 from .quality_rules import REPEAT_WINDOW, RULES, STOP_WORDS, SYMBOLS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +88,70 @@ WITH split AS (
 SELECT *, NOT (base_failed OR {" OR ".join(broken)}) AS kept FROM based"""
 
 
+def _op9() -> str:
+    def places(said: str, parts: str) -> str:
+        """Where the k-th match starts: what lies before it, matches and the text between them."""
+        return (
+            f"CAST(list_sum(list_transform({parts}[1:k], lambda x: length(x))) "
+            f"+ coalesce(list_sum(list_transform({said}[1:k - 1], lambda x: length(x))), 0) AS BIGINT)"
+        )
+
+    byte = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    digits = "regexp_replace(s, '[^0-9]', '', 'g')"
+    valid = {
+        "email": "true",
+        "ip": rf"regexp_full_match(s, '{byte}\.{byte}\.{byte}\.{byte}')",
+        "card": f"""length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform(range(0, length({digits})),
+            lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({digits}, length({digits}) - i, 1) AS INTEGER)
+              ELSE (CAST(substr({digits}, length({digits}) - i, 1) AS INTEGER) * 2) % 10
+                 + (CAST(substr({digits}, length({digits}) - i, 1) AS INTEGER) * 2) // 10 END)) % 10 = 0""",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }
+    entity = {"email": "lower(s)", "ip": "s", "card": digits, "phone": digits}
+    based = " UNION ALL ".join(
+        f"""SELECT rid, '{kind}' AS kind, {n} AS place, st, st + length(s) AS en, '{kind}:' || {entity[kind]} AS c FROM (
+          SELECT rid, said[k] AS s, {places("said", "parts")} AS st FROM (
+            SELECT rid, regexp_extract_all(t, '{PLAIN[kind]}') AS said, string_split_regex(t, '{PLAIN[kind]}') AS parts FROM docs),
+          unnest(range(1, len(said) + 1)) AS u(k)) WHERE {valid[kind]}"""
+        for n, kind in enumerate(KINDS)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS)
+    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)
+    term = r"\p{L}{4,}"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+based AS MATERIALIZED ({based}),
+sides AS (
+  SELECT rid, t, c, greatest(st - {NEAR}, 0) AS lo, substr(t, greatest(st - {NEAR}, 0) + 1, st - greatest(st - {NEAR}, 0)) AS side, true AS before
+  FROM based JOIN docs USING (rid)
+  UNION ALL SELECT rid, t, c, en, substr(t, en + 1, {NEAR}), false FROM based JOIN docs USING (rid)
+), worded AS (
+  SELECT rid, t, c, lo, before, said[k] AS w, {places("said", "parts")} AS pos FROM (
+    SELECT *, regexp_extract_all(side, '{term}') AS said, string_split_regex(side, '{term}') AS parts FROM sides),
+  unnest(range(1, len(said) + 1)) AS u(k)
+), near AS (
+  SELECT DISTINCT rid, t, c, lower(w) AS term, lo + pos AS st, lo + pos + length(w) AS en FROM worded w
+  WHERE (CASE WHEN before THEN pos > 0 OR lo = 0 ELSE pos + length(w) < {NEAR} END)
+    AND NOT EXISTS (SELECT 1 FROM based b WHERE b.rid = w.rid AND b.st < lo + pos + length(w) AND lo + pos < b.en)
+), pairs AS (
+  SELECT c, term, count(DISTINCT rid) AS n_ct FROM near GROUP BY c, term HAVING count(DISTINCT t) >= {SUPPORT}
+), n_c AS (SELECT c, count(DISTINCT rid) AS n_c FROM based GROUP BY c),
+n_t AS (
+  SELECT term, count(DISTINCT rid) AS n_t FROM (SELECT rid, unnest(regexp_extract_all(lower(t), '{term}')) AS term FROM docs) GROUP BY term
+), flagged AS (
+  SELECT c, term FROM pairs JOIN n_c USING (c) JOIN n_t USING (term), (SELECT count(*) AS n FROM docs)
+  WHERE log2(n) - log2(n_c) > 0 AND log2(n_ct) + log2(n) - log2(n_c) - log2(n_t) >= {DISCLOSED} * (log2(n) - log2(n_c))
+), spans AS (
+  SELECT rid, kind, place, st, en FROM based
+  UNION ALL SELECT DISTINCT rid, 'term', {len(KINDS)}, st, en FROM near JOIN flagged USING (c, term)
+), written AS (
+  SELECT rid, {counts}, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY place, st, en) AS spans,
+    string_agg(kind || ':' || st || ':' || en, ',' ORDER BY place, st, en) FILTER (WHERE kind <> 'term') AS base
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN written USING (rid)"""
+
+
 _OP10 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
@@ -128,4 +193,4 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learnt) AS BI
   sha256(learnt) AS loss_sha256, formatted_chars
 FROM joined"""
 
-ORACLES = {"op2_mix_sources": _op2(), "op3_warc": _OP3, "op6_chat_format": _OP6, "op8_quality_rules": _op8(), "op10_exact_dedup": _OP10}
+ORACLES = {"op2_mix_sources": _op2(), "op3_warc": _OP3, "op6_chat_format": _OP6, "op8_quality_rules": _op8(), "op9_pii": _op9(), "op10_exact_dedup": _OP10}

@@ -7,11 +7,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fathomlake.llm import chat_format, pii
 from fathomlake.llm.exact_dedup import exact_dedup, exact_groups
+from fathomlake.llm.oracles import ORACLES
 from fathomlake.llm.quality_rules import RULES, STOP_WORDS, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,6 +199,11 @@ def test_pii_terms(spark, tmp_path):
     for row in got:
         want = sorted({(s, e) for c, t, s, e in near[row.text] if (c, t) in flagged})
         assert [(x.start, x.end) for x in row.term] == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    sql = con.execute(ORACLES["op9_pii"]).fetchall()
+    columns = [d[0] for d in con.description]
+    assert Counter(r[columns.index("spans")] for r in sql) == Counter(r.s for r in pii.find_pii(docs).select(pii.written_spans().alias("s")).collect())
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "[NAME]" in clean[0] and "[EMAIL]" in clean[0] and "@" not in "".join(clean.values())
     assert clean[1] == rows[1][1]  # a clean document is left alone
