@@ -179,11 +179,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         near.join(flagged, ["c", "term"]).groupBy("key")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("said")))).alias("term"))
     )
-    out = based.join(spans, "key", "left").select(
+    # documents without an entity have no key to join by
+    none = based.where("key is null").withColumn("term", F.lit(None).cast(f"array<{_SPAN}>"))
+    out = based.where("key is not null").join(spans, "key", "left").unionByName(none)
+    return out.select(
         F.col("i").alias(id_col), *(F.col("b")[k].alias(k) for k in KINDS),
         F.coalesce("term", F.array().cast(f"array<{_SPAN}>")).alias("term"), *([F.col("t").alias(text_col)] if with_text else []),
     )
-    return out
 
 
 def _disclosing(docs: DataFrame, text: Column, near: DataFrame, scratch: Scratch) -> DataFrame:
@@ -193,10 +195,9 @@ def _disclosing(docs: DataFrame, text: Column, near: DataFrame, scratch: Scratch
     ).where(F.col("texts") >= SUPPORT)
     pairs = scratch.cut(pairs, "pairs")
     n_c = near.groupBy("c", "key").agg(F.max("n").alias("n")).groupBy("c").agg(F.sum("n").alias("n_c"))
-    terms = pairs.select("term").distinct()
-    # documents that hold each of these terms, over the whole corpus
+    # documents that hold each term, over the whole corpus; counted before the pairs are looked up
     held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = held.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     log = lambda x: F.log2(x.cast("double"))
     total = docs.select(F.count(F.lit(1)).alias("n_all"))
     joined = pairs.join(n_c, "c").join(n_t, "term").join(F.broadcast(total))  # one row
