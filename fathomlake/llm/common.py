@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -17,13 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder takes its place and is set for the session.
+    machine, the checkpoint folder of the context takes its place, a temporary one if need be.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fathomlake-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fathomlake-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -54,6 +56,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now.
+
+        It does so when the driver collects its garbage, which a short chain of large steps may
+        not live to see. The first collection lets go of what Python held, the second of the rest.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
+
+
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` bound to a lambda variable, so that it is computed once.
 

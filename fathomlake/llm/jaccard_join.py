@@ -7,9 +7,11 @@ hash) into n1 parts of n2 parts each. With n1 > k // (k2 + 1) some first-level p
 most k2 elements, so at most k2 of its second-level parts differ, and the sets agree on one of the
 subsets of n2 - k2 of them. A signature stands for one subset; linked sets share one.
 
-Signatures over no element would bring together unrelated sets. n1 is therefore larger than needed
-by a slack: a set that has no more first-level parts with an empty subset than that keeps them to
-itself and still shares a signature over elements with every set that it is linked to.
+Signatures over no element would bring together unrelated sets. n1 is therefore a little larger than
+needed, and sets below the largest size of their instance have room besides, since they differ from
+others in fewer elements. A set with no more first-level parts that have an empty subset than it has
+parts to spare keeps these to itself, and still shares a signature over elements with every set that
+it is linked to.
 
 Steps, none of which holds a group of documents in one task:
 
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 _MASK = (1 << 64) - 1
 
 
@@ -96,45 +98,55 @@ class PartEnum:
         while self.lows[-1] < 1 << 40:
             self.lows.append(self.lows[-1] * 100 // percent + 1)
 
-    def shape(self, instance: int) -> tuple[int, int, int, int]:
-        """(n1, n2, k2, slack) of the instance for sets in the bands instance - 1 and instance."""
-        if instance in self._shapes:
-            return self._shapes[instance]
-        self._shapes[instance] = found = self._shape(instance)
-        return found
+    def differ(self, a: int, b: int) -> int:
+        """The most elements in which linked sets of these sizes differ."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+    def shape(self, instance: int) -> tuple[int, int, int]:
+        """(n1, n2, k2) of the instance for pairs whose larger set is in that band."""
+        if instance not in self._shapes:
+            self._shapes[instance] = self._shape(instance)
+        return self._shapes[instance]
 
-    def _shape(self, instance: int) -> tuple[int, int, int, int]:
+    def _shape(self, instance: int) -> tuple[int, int, int]:
         most = self.lows[instance + 1] - 1
-        k = 2 * most * (100 - self.percent) // (100 + self.percent)
+        k = self.differ(most, most)
         if k == 0:
-            return 1, 1, 0, 0
+            return 1, 1, 0
         if k <= 4:
-            return 1, k + 3, k, 0
-        least, slack = self.lows[max(0, instance - 1)], 0
-        for _ in range(6):  # about as many empty subsets as chance brings, and three deviations more
-            n1 = k // 2 + 1 + slack
-            mean = 3 * n1 * math.exp(-2 * least / (3 * n1))
-            slack = math.ceil(mean + 3 * math.sqrt(mean) + 1)
-        return k // 2 + 1 + slack, 3, 1, slack
+            return 1, k + 3, k
+        n1 = k // 2 + 1
+        for _ in range(4):  # the parts with an empty subset that a large set has by chance, and three deviations more
+            mean = 3 * n1 * math.exp(-2 * most / (3 * n1))
+            n1 = k // 2 + 1 + min(k // 2, math.ceil(mean + 3 * math.sqrt(mean) + 1))
+        return n1, 3, 1
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         if not len(elements):
             return np.zeros(0, np.uint64)
-        band = bisect_right(self.lows, len(elements)) - 1
+        size = len(elements)
+        band = bisect_right(self.lows, size) - 1
         place, value = _mix(elements, 1), _mix(elements, 2)
         found = []
         for instance in (band, band + 1):
-            n1, n2, k2, slack = self.shape(instance)
+            n1, n2, k2 = self.shape(instance)
+            # parts that agree with any linked set, beyond the first
+            spare = n1 - 1 - self.differ(size, min(self.lows[instance + 1] - 1, size * 100 // self.percent)) // (k2 + 1)
             first = place % np.uint64(n1)
             part = (first * np.uint64(n2) + (place >> np.uint64(40)) % np.uint64(n2)).astype(np.int64)
             sums = np.zeros(n1 * n2, np.uint64)
             np.add.at(sums, part, value)
             sums, held = sums.reshape(n1, n2), np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
-            subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
-            full = np.stack([held[:, c].sum(axis=1) > 0 for c in subsets], axis=1)
-            names = np.arange(n1 * len(subsets), dtype=np.uint64).reshape(n1, -1) + np.uint64((instance + 1) << 40)
-            signed = _mix(np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) for c in subsets], axis=1) ^ _mix(names, 3), 4)
-            found.append(signed[full] if int((~full).any(axis=1).sum()) <= slack else signed.reshape(-1))
+            if k2 == 1:  # all but one part: the whole less that part
+                sums, held = sums.sum(axis=1, dtype=np.uint64)[:, None] - sums, held.sum(axis=1)[:, None] - held
+            else:
+                subsets = [list(c) for c in combinations(range(n2), n2 - k2)]
+                sums = np.stack([sums[:, c].sum(axis=1, dtype=np.uint64) for c in subsets], axis=1)
+                held = np.stack([held[:, c].sum(axis=1) for c in subsets], axis=1)
+            full = held > 0
+            names = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape) + np.uint64((instance + 1) << 40)
+            signed = _mix(sums ^ _mix(names, 3), 4)
+            found.append(signed[full] if int((~full).any(axis=1).sum()) <= spare else signed.reshape(-1))
         return np.concatenate(found)
 
 
@@ -238,29 +250,24 @@ class _Components:
     def add(self, links: DataFrame) -> None:
         """Merge along links by contraction: each label moves to the neighbour that is first in a
         random order of the round, until no link is left between labels."""
+        fresh = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.labels, "id", "left_anti")
+        labels = self.labels.unionByName(fresh.withColumn("label", F.col("id")))
         ends = self.of(self.of(links.select("a", "b"), "a", "u"), "b", "v")
-        labels = self.labels.unionByName(
-            ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(self.labels, "id", "left_anti").withColumn("label", F.col("id"))
-        )
         edges = self._scratch.cut(ends.where("u <> v").select("u", "v").distinct(), "edges")
-        moved = False
         turn = 0
         while not edges.isEmpty():
-            turn, moved = turn + 1, True
+            turn += 1
             rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))  # noqa: E731, B023
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             best = both.groupBy("u").agg(F.min_by("v", rank("v")).alias("v"), F.min(rank("v")).alias("r"))
             steps = self._scratch.cut(best.where(F.col("r") < rank("u")).select("u", F.col("v").alias("to")), "steps")
-            # a label that moves to one that moves on follows it
-            jump = steps.select(F.col("u").alias("to"), F.col("to").alias("on"))
-            steps = self._scratch.cut(steps.join(jump, "to", "left").select("u", F.coalesce("on", "to").alias("to")), "jumps")
 
             def move(df: DataFrame, column: str, steps=steps) -> DataFrame:
                 return df.join(steps.withColumnRenamed("u", column), column, "left").withColumn(column, F.coalesce("to", column)).drop("to")
 
-            labels = self._scratch.cut(move(labels, "label"), "labels")
+            labels = move(labels, "label")
             edges = self._scratch.cut(move(move(edges, "u"), "v").where("u <> v").distinct(), "edges")
-        self.labels = labels if moved else self._scratch.cut(labels, "labels")
+        self.labels = self._scratch.cut(labels, "labels")
 
 
 def _texts(docs: DataFrame, text_col: str) -> Column:
@@ -275,12 +282,15 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
     signed = scratch.cut(
         different.mapInArrow(_sign(size, percent), schema).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, schema), "signed"
     )
+    scratch.release()
     about = signed.where("d is not null").mapInArrow(_unpack, "id long, n long, p0 long, p1 long, p2 long, p3 long")
     about = scratch.cut(about, "about")
     active = signed.where("d is null").select("key", "id")
     weight = active.join(active.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("id").agg(F.sum(F.col("m") - 1).alias("w"))
     active = scratch.cut(active.join(weight, "id"), "active")
+    scratch.release()
     texts = scratch.cut(rows.join(active.select(F.col("id").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("id"), "t"), "texts")
+    scratch.release()
     components, tested = _Components(scratch), None
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -296,6 +306,7 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
     def compare(pairs: DataFrame) -> None:
         nonlocal tested
         pairs = scratch.cut(near(pairs), "pairs")
+        scratch.release()
         tested = pairs if tested is None else tested.unionByName(pairs)
         one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
         two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
@@ -316,6 +327,7 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
         spread = active.join(centre, "key").where(F.col("id") != F.col("a"))
         compare(components.of(spread.select("a", F.col("id").alias("b"), "c"), "a", "ca").where("c <> ca"))
         active = still(spread)
+        scratch.release()
         if active.isEmpty():
             return about, components.labels
     left, right = (active.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
