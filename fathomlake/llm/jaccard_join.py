@@ -293,14 +293,19 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
     scratch.release()
     components, tested = _Components(scratch), None
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a < b) that sizes and parities leave, each once, without those compared before."""
-        of = lambda x: about.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1", "p2", "p3")))
+    def possible() -> Column:
+        """What sizes and parities leave of pairs a, b that :func:`known` has described."""
         apart = sum((F.bit_count(F.col(f"p{k}a").bitwiseXOR(F.col(f"p{k}b"))) for k in range(4)), F.lit(0))
         few = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
-        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        return few & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def known(df: DataFrame, x: str) -> DataFrame:
+        return df.join(about.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1", "p2", "p3"))), x)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """The possible ones of pairs, each once, a < b, without those compared before."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(sizes & few).select("a", "b")
+        pairs = known(known(pairs, "a"), "b").where(possible()).select("a", "b")
         return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
     def compare(pairs: DataFrame) -> None:
@@ -330,8 +335,11 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
         scratch.release()
         if active.isEmpty():
             return about, components.labels
-    left, right = (active.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b"))
-    compare(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))))
+    # impossible pairs are dropped by the join itself: they are never rows
+    left, right = (known(active.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")), x) for x in ("a", "b"))
+    right = right.withColumnRenamed("key", "key_b")
+    apart = (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    compare(scratch.cut(left.join(right, apart & possible()).select("a", "b").distinct(), "rest"))
     return about, components.labels
 
 
