@@ -49,7 +49,7 @@ class _Words(dict):
     """64-bit hashes of words, a bounded number of them remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -287,30 +287,28 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
     about = scratch.cut(about, "about")
     active = signed.where("d is null").select("key", "id")
     weight = active.join(active.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("id").agg(F.sum(F.col("m") - 1).alias("w"))
-    active = scratch.cut(active.join(weight, "id"), "active")
+    active = scratch.cut(active.join(weight.join(about, "id"), "id"), "active")
     scratch.release()
     texts = scratch.cut(rows.join(active.select(F.col("id").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("id"), "t"), "texts")
     scratch.release()
     components, tested = _Components(scratch), None
 
-    def possible() -> Column:
-        """What sizes and parities leave of pairs a, b that :func:`known` has described."""
-        apart = sum((F.bit_count(F.col(f"p{k}a").bitwiseXOR(F.col(f"p{k}b"))) for k in range(4)), F.lit(0))
-        few = (100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))
-        return few & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    def as_other(df: DataFrame) -> DataFrame:
+        return df.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "c", "n", "p0", "p1", "p2", "p3")))
 
-    def known(df: DataFrame, x: str) -> DataFrame:
-        return df.join(about.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "p0", "p1", "p2", "p3"))), x)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """The possible ones of pairs, each once, a < b, without those compared before."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = known(known(pairs, "a"), "b").where(possible()).select("a", "b")
-        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    def candidates(some: DataFrame, others: DataFrame, apart: Column) -> DataFrame:
+        """Pairs of one bucket, in different components, that sizes and parities leave. The join
+        itself drops the others, so that they are never rows."""
+        differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_"))) for k in range(4)), F.lit(0))
+        few = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_"))
+        sizes = 100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")
+        others = others.withColumnRenamed("key", "key_")
+        found = some.join(others, (F.col("key") == F.col("key_")) & apart & (F.col("c") != F.col("c_")) & sizes & few)
+        return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
     def compare(pairs: DataFrame) -> None:
         nonlocal tested
-        pairs = scratch.cut(near(pairs), "pairs")
+        pairs = scratch.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         scratch.release()
         tested = pairs if tested is None else tested.unionByName(pairs)
         one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
@@ -320,7 +318,7 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
 
     def still(rows: DataFrame) -> DataFrame:
         """Rows of the buckets that hold more than one component."""
-        rows = components.of(rows.select("key", "id", "w"), "id", "c")
+        rows = components.of(rows.drop("c"), "id", "c")
         mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         return scratch.cut(rows.join(mixed, "key", "left_semi"), "active")
 
@@ -328,18 +326,13 @@ def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scr
     for _ in range(star_rounds):
         # of equal weights the same text everywhere, so that buckets share their centres
         order = F.shiftleft(F.col("w").cast("long"), 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-        centre = active.withColumn("o", order).groupBy("key").agg(F.max_by("id", "o").alias("a"))
-        spread = active.join(centre, "key").where(F.col("id") != F.col("a"))
-        compare(components.of(spread.select("a", F.col("id").alias("b"), "c"), "a", "ca").where("c <> ca"))
-        active = still(spread)
+        centres = scratch.cut(active.withColumn("o", order).groupBy("key").agg(F.max_by("id", "o").alias("id")), "centres")
+        compare(candidates(active, as_other(components.of(centres.join(about, "id"), "id", "c")), F.col("id") != F.col("id_")))
+        active = still(active.join(centres, ["key", "id"], "left_anti"))
         scratch.release()
         if active.isEmpty():
             return about, components.labels
-    # impossible pairs are dropped by the join itself: they are never rows
-    left, right = (known(active.select("key", F.col("id").alias(x), F.col("c").alias(f"c{x}")), x) for x in ("a", "b"))
-    right = right.withColumnRenamed("key", "key_b")
-    apart = (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-    compare(scratch.cut(left.join(right, apart & possible()).select("a", "b").distinct(), "rest"))
+    compare(candidates(active, as_other(active), F.col("id") < F.col("id_")))
     return about, components.labels
 
 
