@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens, as pieces with their places."""
-    return pack_documents(docs, tokenizer("word_bpe_49k.json"), end=1)
+    return pack_documents(docs, tokenizer("word_bpe_49k.json"), end=1, words=60_000)  # workers live on in other stages
 
 
 STAGES = [

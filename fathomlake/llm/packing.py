@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import encoder
+from .tokens import ROOM, encoder
 
 SEQUENCE = 4096
 #: Pieces per group, about: what one task packs.
@@ -60,11 +60,11 @@ def sum_of_squares(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, end: int | None, room: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, end: int | None, room: int, id_col: str = "doc_id", text_col: str = "text", words: int = ROOM) -> DataFrame:
     """The pieces of every document: whole, or cut every ``room`` ids if it is longer."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, words)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 some, rows = batch.slice(k, 256), []
@@ -84,16 +84,17 @@ def pieces_of(docs: DataFrame, tokenizer: str, end: int | None, room: int, id_co
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, end: int | None = 1, room: int = SEQUENCE,
-    id_col: str = "doc_id", text_col: str = "text", group: int = GROUP,
+    id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, words: int = ROOM,
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty: its document is the end id alone. Rows that repeat an id are
     documents of their own, null ids stay null, other columns play no part, and an empty table
-    gives an empty one. With ``end`` None a document without ids has no piece.
+    gives an empty one. With ``end`` None a document without ids has no piece. ``words`` bounds what
+    the encoder remembers.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.cut(pieces_of(docs, tokenizer, end, room, id_col, text_col), "pieces")
+    pieces = scratch.cut(pieces_of(docs, tokenizer, end, room, id_col, text_col, words), "pieces")
     groups = max(1, -(-pieces.count() // group))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:

@@ -15,6 +15,8 @@ _PLAIN = re.compile(r"(\n{0,2})([A-Za-zÀ-ÖØ-öø-ÿ]+)").fullmatch
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 #: How byte-level tokenizers spell bytes: printable ones as themselves, the rest from U+0100 on.
 _SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: Words whose ids are remembered, by default.
+ROOM = 500_000
 
 
 class _Words(dict):
@@ -46,7 +48,7 @@ class Encoder:
     text. ``room`` bounds the memory; more distinct words than that only cost time.
     """
 
-    def __init__(self, path: str, by_words: bool = True, room: int = 250_000):
+    def __init__(self, path: str, by_words: bool = True, room: int = ROOM):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,6 +116,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, room: int = ROOM) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path)
+    return Encoder(path, room=room)
