@@ -11,6 +11,11 @@ in documents; it discloses c if that is at least DISCLOSED of c's own informatio
 and if it stands near c in SUPPORT different texts or more. Disclosing terms become spans of kind
 "term" wherever they stand near their entity, and are generalised to what kind of word they are.
 
+With SUPPORT most personal data, which one or two texts hold, never gets a term. With
+``support=False`` no number of texts is asked for: a pair counts if, besides, its table of documents
+(copies included) is unlikely by chance, by the likelihood ratio of Dunning (1993), which holds for
+small counts: G2(c, t) >= UNLIKELY.
+
 Everything is DataFrame expressions. Patterns are written so that Java's matcher needs no
 backtracking and no recursion, with the same matches as the plain forms in PLAIN.
 """
@@ -51,6 +56,8 @@ TERM = r"\p{L}{4,}"
 NEAR = 80
 SUPPORT = 3
 DISCLOSED = 0.8
+#: G2 of a probability of 0.001 by chance (chi squared, one degree of freedom).
+UNLIKELY = 10.83
 
 _SPAN = "struct<start:int,end:int,said:string>"
 
@@ -152,11 +159,12 @@ def _near(text: Column, found: Column, entity: Column) -> Column:
     )
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, support: bool = True) -> DataFrame:
     """Per row of ``docs``: ``id_col``, email, ip, card, phone, term (arrays of start, end, said), and text if asked for.
 
     A null text counts as empty. Repeated rows get the same spans each, whatever their ids; null
-    ids stay. Other columns play no part. An empty table gives an empty one.
+    ids stay. Other columns play no part. An empty table gives an empty one. Without ``support``
+    entities of any number of texts get their terms.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -174,7 +182,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         .select("key", "n", "c", F.col("x.said").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")),
         "near",
     )
-    flagged = scratch.cut(_disclosing(docs, text, near, scratch), "flagged")
+    flagged = scratch.cut(_disclosing(docs, text, near, scratch, support), "flagged")
     spans = (
         near.join(flagged, ["c", "term"]).groupBy("key")
         .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("said")))).alias("term"))
@@ -188,11 +196,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     )
 
 
-def _disclosing(docs: DataFrame, text: Column, near: DataFrame, scratch: Scratch) -> DataFrame:
+def _disclosing(docs: DataFrame, text: Column, near: DataFrame, scratch: Scratch, support: bool) -> DataFrame:
     """(c, term) of the pairs at or over the threshold."""
     pairs = near.where("term is not null").groupBy("c", "term", "key").agg(F.max("n").alias("n")).groupBy("c", "term").agg(
         F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts")
-    ).where(F.col("texts") >= SUPPORT)
+    ).where(F.col("texts") >= (SUPPORT if support else 1))
     pairs = scratch.cut(pairs, "pairs")
     n_c = near.groupBy("c", "key").agg(F.max("n").alias("n")).groupBy("c").agg(F.sum("n").alias("n_c"))
     # documents that hold each term, over the whole corpus; counted before the pairs are looked up
@@ -203,7 +211,18 @@ def _disclosing(docs: DataFrame, text: Column, near: DataFrame, scratch: Scratch
     joined = pairs.join(n_c, "c").join(n_t, "term").join(F.broadcast(total))  # one row
     pmi = log(F.col("n_ct")) + log(F.col("n_all")) - log(F.col("n_c")) - log(F.col("n_t"))
     own = log(F.col("n_all")) - log(F.col("n_c"))
-    return joined.where((own > 0) & (pmi >= DISCLOSED * own)).select("c", "term")
+    sure = F.lit(True) if support else _g2() >= UNLIKELY
+    return joined.where((own > 0) & (pmi >= DISCLOSED * own) & sure).select("c", "term")
+
+
+def _g2() -> Column:
+    """The likelihood ratio of the columns n_ct, n_c, n_t and n_all."""
+    n_ct, n_c, n_t, n_all = (F.col(k).cast("double") for k in ("n_ct", "n_c", "n_t", "n_all"))
+    cell = lambda seen, a, b: F.when(seen > 0, seen * F.log(seen * n_all / (a * b))).otherwise(0.0)
+    return 2 * (
+        cell(n_ct, n_c, n_t) + cell(n_c - n_ct, n_c, n_all - n_t)
+        + cell(n_t - n_ct, n_all - n_c, n_t) + cell(n_all - n_c - n_t + n_ct, n_all - n_c, n_all - n_t)
+    )
 
 
 def pmi_discloses(n_ct: int, n_c: int, n_t: int, n_all: int) -> bool:

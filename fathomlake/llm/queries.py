@@ -78,13 +78,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("failed")
 
 
-def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(read(spark, sf_dir, "documents")).select(
+def _pii(found: DataFrame) -> DataFrame:
+    return found.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(written_spans(KINDS), 256).alias("base_sha256"), written_spans().alias("spans"),
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(find_pii(read(spark, sf_dir, "documents")))
+
+
+def op9_pii_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of all entities, however few texts hold them; the SQL of ``op9_pii`` asks for SUPPORT texts."""
+    return _pii(find_pii(read(spark, sf_dir, "documents"), support=False))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_groups(read(spark, sf_dir, "documents"))
     return groups.withColumnRenamed("text_digest", "text_sha256")
@@ -94,6 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_mix_sources, op3_warc, op4_token_files, op5_best_fit_packing, op6_chat_format,
-        op7_jaccard_join, op8_quality_rules, op9_pii, op10_exact_dedup,
+        op7_jaccard_join, op8_quality_rules, op9_pii, op9_pii_whole, op10_exact_dedup,
     )
 }

@@ -209,6 +209,18 @@ def test_pii_terms(spark, tmp_path):
     assert clean[1] == rows[1][1]  # a clean document is left alone
 
 
+def test_pii_terms_of_few_texts(spark):
+    """Entities in one text, and in copies of one text, get terms; words of other documents do not."""
+    rows = [(k, "common words everywhere") for k in range(300)]
+    rows += [(300, "common Quillfeather one@mail.example words"), (301, "common words Brackenridge two@mail.example")]
+    rows += [(k, "everywhere Thistlewood three@mail.example common") for k in range(302, 340)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = lambda **how: {r.doc_id: [x.said for x in r.term] for r in pii.find_pii(docs, **how).collect() if r.term}
+    assert not terms()
+    want = {300: ["quillfeather"], 301: ["brackenridge"]} | {k: ["thistlewood"] for k in range(302, 340)}
+    assert terms(support=False) == want
+
+
 def test_pii_of_odd_rows(spark, documents_on_disk, empty):
     assert pii.find_pii(documents_on_disk).count() == documents_on_disk.count()
     assert pii.find_pii(empty).count() == 0
