@@ -11,10 +11,12 @@ in documents; it discloses c if that is at least DISCLOSED of c's own informatio
 and if it stands near c in SUPPORT different texts or more. Disclosing terms become spans of kind
 "term" wherever they stand near their entity, and are generalised to what kind of word they are.
 
-With SUPPORT most personal data, which one or two texts hold, never gets a term. With
-``support=False`` no number of texts is asked for: a pair counts if, besides, its table of documents
-(copies included) is unlikely by chance, by the likelihood ratio of Dunning (1993), which holds for
-small counts: G2(c, t) >= UNLIKELY.
+With SUPPORT most personal data, which one or two texts hold, never gets a term, and what stands
+far from its entity or is short is no term. With ``whole=True`` no number of texts, distance or
+length is asked for: t is any word of a document that holds c, a pair counts if, besides, its table
+of documents (copies included) is unlikely by chance, by the likelihood ratio of Dunning (1993),
+which holds for small counts: G2(c, t) >= UNLIKELY; and each occurrence of t in a document that
+holds c becomes a span.
 
 Everything is DataFrame expressions. Patterns are written so that Java's matcher needs no
 backtracking and no recursion, with the same matches as the plain forms in PLAIN.
@@ -52,6 +54,8 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 #: A term: a run of letters, this long at least.
 TERM = r"\p{L}{4,}"
+#: A term of whole texts: letters with their marks, of any length.
+WORD_TERM = r"[\p{L}\p{M}]+"
 #: Code points before and after an entity in which its terms stand.
 NEAR = 80
 SUPPORT = 3
@@ -159,12 +163,12 @@ def _near(text: Column, found: Column, entity: Column) -> Column:
     )
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, support: bool = True) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, whole: bool = False) -> DataFrame:
     """Per row of ``docs``: ``id_col``, email, ip, card, phone, term (arrays of start, end, said), and text if asked for.
 
     A null text counts as empty. Repeated rows get the same spans each, whatever their ids; null
-    ids stay. Other columns play no part. An empty table gives an empty one. Without ``support``
-    entities of any number of texts get their terms.
+    ids stay. Other columns play no part. An empty table gives an empty one. With ``whole``
+    terms of any length, anywhere in a text, of entities of any number of texts are found.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -176,17 +180,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     # texts that hold an entity, each once, with the number of documents that say them
     texts = based.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("b").alias("b"))
     entities = F.concat(*(_as_entities(k, F.col("b")[k]) for k in KINDS))
-    mentions = texts.withColumn("f", entities).select("key", "n", "t", "f", F.explode("f").alias("e"))
-    near = scratch.cut(
-        mentions.select("key", "n", F.col("e.said").alias("c"), F.explode_outer(_near(F.col("t"), F.col("f"), F.col("e"))).alias("x"))
-        .select("key", "n", "c", F.col("x.said").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")),
-        "near",
-    )
-    flagged = scratch.cut(_disclosing(docs, text, near, scratch, support), "flagged")
-    spans = (
-        near.join(flagged, ["c", "term"]).groupBy("key")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("said")))).alias("term"))
-    )
+    texts = texts.withColumn("f", entities)
+    spans = _terms_of_texts(docs, text, texts, scratch) if whole else _terms_near(docs, text, texts, scratch)
     # documents without an entity have no key to join by
     none = based.where("key is null").withColumn("term", F.lit(None).cast(f"array<{_SPAN}>"))
     out = based.where("key is not null").join(spans, "key", "left").unionByName(none)
@@ -196,23 +191,54 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     )
 
 
-def _disclosing(docs: DataFrame, text: Column, near: DataFrame, scratch: Scratch, support: bool) -> DataFrame:
-    """(c, term) of the pairs at or over the threshold."""
+def _terms_near(docs: DataFrame, text: Column, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, term): the disclosing terms near their entities, those of SUPPORT texts."""
+    mentions = texts.select("key", "n", "t", "f", F.explode("f").alias("e"))
+    near = scratch.cut(
+        mentions.select("key", "n", F.col("e.said").alias("c"), F.explode_outer(_near(F.col("t"), F.col("f"), F.col("e"))).alias("x"))
+        .select("key", "n", "c", F.col("x.said").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")),
+        "near",
+    )
     pairs = near.where("term is not null").groupBy("c", "term", "key").agg(F.max("n").alias("n")).groupBy("c", "term").agg(
         F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts")
-    ).where(F.col("texts") >= (SUPPORT if support else 1))
+    ).where(F.col("texts") >= SUPPORT)
     pairs = scratch.cut(pairs, "pairs")
     n_c = near.groupBy("c", "key").agg(F.max("n").alias("n")).groupBy("c").agg(F.sum("n").alias("n_c"))
+    held = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    flagged = scratch.cut(_disclosing(docs, held, pairs, n_c).select("c", "term"), "flagged")
+    return (
+        near.join(flagged, ["c", "term"]).groupBy("key")
+        .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("said")))).alias("term"))
+    )
+
+
+def _terms_of_texts(docs: DataFrame, text: Column, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, term): every occurrence of the disclosing terms in texts that hold their entity."""
+    clear = lambda x: ~F.exists("f", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    words = F.filter(F.transform(find(F.col("t"), WORD_TERM), lambda x: x.withField("said", F.lower(x["said"]))), clear)
+    texts = scratch.cut(texts.select("key", "n", F.array_distinct(F.transform("f", lambda x: x["said"])).alias("cs"), words.alias("x")), "texts")
+    terms = F.array_distinct(F.transform("x", lambda x: x["said"]))
+    # a text has each pair once, and counts combine before they are shuffled
+    pairs = texts.select("n", terms.alias("terms"), F.explode("cs").alias("c")).select("n", "c", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("c", "term").agg(F.sum("n").alias("n_ct"))
+    mentions = texts.select("key", "n", F.explode("cs").alias("c"))
+    n_c = mentions.groupBy("c").agg(F.sum("n").alias("n_c"))
+    held = F.transform(F.regexp_extract_all(text, F.lit(WORD_TERM), F.lit(0)), F.lower)
+    flagged = _disclosing(docs, held, pairs, n_c).where(_g2() >= UNLIKELY).groupBy("c").agg(F.collect_list("term").alias("terms"))
+    mine = mentions.join(scratch.cut(flagged, "flagged"), "c").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    return texts.join(mine, "key").select("key", F.filter("x", lambda x: F.array_contains("terms", x["said"])).alias("term"))
+
+
+def _disclosing(docs: DataFrame, held: Column, pairs: DataFrame, n_c: DataFrame) -> DataFrame:
+    """``pairs`` (c, term, n_ct) at or over the threshold, with n_c, n_t and n_all; ``held`` are a document's terms."""
     # documents that hold each term, over the whole corpus; counted before the pairs are looked up
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n_t = docs.select(F.explode(F.array_distinct(held)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     log = lambda x: F.log2(x.cast("double"))
     total = docs.select(F.count(F.lit(1)).alias("n_all"))
     joined = pairs.join(n_c, "c").join(n_t, "term").join(F.broadcast(total))  # one row
     pmi = log(F.col("n_ct")) + log(F.col("n_all")) - log(F.col("n_c")) - log(F.col("n_t"))
     own = log(F.col("n_all")) - log(F.col("n_c"))
-    sure = F.lit(True) if support else _g2() >= UNLIKELY
-    return joined.where((own > 0) & (pmi >= DISCLOSED * own) & sure).select("c", "term")
+    return joined.where((own > 0) & (pmi >= DISCLOSED * own))
 
 
 def _g2() -> Column:
@@ -241,7 +267,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A disclosing term becomes [NAME] if capitalised, else [WORD]. Where spans overlap the first stands.
     """
-    found = find_pii(docs, id_col, text_col, with_text=True)
+    found = find_pii(docs, id_col, text_col, with_text=True, whole=True)
     def of_kind(k: str) -> Column:
         return F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind")))
 

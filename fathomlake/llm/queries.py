@@ -90,8 +90,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of all entities, however few texts hold them; the SQL of ``op9_pii`` asks for SUPPORT texts."""
-    return _pii(find_pii(read(spark, sf_dir, "documents"), support=False))
+    """Terms of all entities over whole texts; the SQL of ``op9_pii`` asks for SUPPORT texts, NEAR and TERM."""
+    return _pii(find_pii(read(spark, sf_dir, "documents"), whole=True))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,20 @@ def test_pii_terms_of_few_texts(spark):
     terms = lambda **how: {r.doc_id: [x.said for x in r.term] for r in pii.find_pii(docs, **how).collect() if r.term}
     assert not terms()
     want = {300: ["quillfeather"], 301: ["brackenridge"]} | {k: ["thistlewood"] for k in range(302, 340)}
-    assert terms(support=False) == want
+    assert terms(whole=True) == want
+
+
+def test_pii_terms_of_whole_texts(spark):
+    """Terms far from their entity, repeated, and short ones; not those of a base span or of documents without the entity."""
+    filler = "common words everywhere " * 60
+    rows = [(k, filler) for k in range(600)]
+    rows += [(600, f"Quillfeather {filler}one@mail.example {filler}Bo, Quillfeather"), (601, f"{filler}李 two@mail.example"), (602, f"Bo {filler}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.term) for r in pii.find_pii(docs, with_text=True, whole=True).collect()}
+    assert {i: [x.said for x in terms] for i, (_, terms) in got.items() if terms} == {600: ["quillfeather", "bo", "quillfeather"], 601: ["李"]}
+    assert all(text[x.start : x.end].lower() == x.said for text, terms in got.values() for x in terms)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "Quillfeather" not in clean[600] and clean[600].endswith("[NAME], [NAME]") and clean[0] == filler
 
 
 def test_pii_of_odd_rows(spark, documents_on_disk, empty):
