@@ -5,7 +5,11 @@ digits, lower-cased). Templates are classed by length, up to C = 1, 2, 4, ... sh
 looked for in windows of 2 C shingles that begin every C, so that any run of a template's length
 lies in one window. A window that holds 80 % of a template has a Jaccard similarity of 0.19 or
 more with it; with BANDS bands of one row each they collide in at least one with a probability of
-1 - (1 - 0.19) ** 64 > 0.99999. Windows that collide are compared shingle by shingle.
+1 - (1 - 0.19) ** 64 > 0.99999. Windows that collide are compared shingle by shingle. A block that
+holds no shingle of any template is passed over first.
+
+Templates of fewer than five words are taken on request (``short``): each is one shingle of all its
+words, and found wherever these stand in a row.
 
 The templates are few and given (their number is checked), and each document is scanned by itself,
 block by block: no shuffle, memory bounded by a block.
@@ -51,6 +55,46 @@ TEMPLATES = (
                 "option) any later version."),
 )
 
+#: More license bodies and notices.
+MORE = (
+    ("BSD-conditions", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+                       "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+                       "the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-endorsement", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                        "products derived from this software without specific prior written permission."),
+    ("BSD-disclaimer", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+                       "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+                       "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+                       "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+                       "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+                       "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+                       "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+             "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+                 "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+                "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her "
+                "rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+                  "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+                  "commercial or non-commercial, and by any means."),
+)
+#: Notices of fewer than five words.
+SHORT = (
+    ("all-rights-reserved", "All rights reserved."), ("MIT-short", "MIT License"), ("Apache-short", "Apache License"), ("BSD-short", "BSD License"),
+    ("ISC-short", "ISC License"), ("GPL-short", "GNU General Public License"), ("MPL-short", "Mozilla Public License"),
+    ("Unlicense-SPDX", "SPDX-License-Identifier: Unlicense"), ("MIT-SPDX", "SPDX-License-Identifier: MIT"), ("ISC-SPDX", "SPDX-License-Identifier: ISC"),
+)
+#: SPDX lines of more words than four.
+SPDX = tuple(
+    (f"{name}-SPDX", f"SPDX-License-Identifier: {name}")
+    for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0")
+)
+#: All that is scanned for by the query; with ``short``.
+ALL = (*TEMPLATES, *MORE, *SPDX, *SHORT)
+
 SCHEMA = "license_id string, matched long, shingles long, containment double, start_word long, end_word long"
 _word = re.compile(r"\w+").findall
 _rng = np.random.RandomState(20240101)
@@ -71,25 +115,46 @@ def _hashed(shingles: np.ndarray) -> np.ndarray:
 
 
 class Scanner:
-    def __init__(self, templates: Sequence[tuple[str, str]], size: int = SIZE, percent: int = PERCENT):
+    def __init__(self, templates: Sequence[tuple[str, str]], size: int = SIZE, percent: int = PERCENT, short: bool = False):
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are sent to the tasks")
-        self.size, self.percent, self.classes = size, percent, {}
+        self.size, self.percent, self.classes, self.short = size, percent, {}, []
         for name, text in templates:
             found = np.unique(sequence(text, size))
+            words = _word(text.lower())
+            if short and 0 < len(words) < size:
+                self.short.append((name, f" {' '.join(words)} ", len(words)))
+                continue
             if not len(found):
                 raise ValueError(f"template {name!r} has fewer than {size} words")
             c = 1 << (len(found) - 1).bit_length()
             self.classes.setdefault(c, []).append((name, found, _hashed(found).min(axis=0)))
+        self.known = np.unique(np.concatenate([t[1] for ts in self.classes.values() for t in ts] or [np.zeros(0, np.uint64)]))
+
+    def _short(self, text: str) -> list[tuple]:
+        low = text.lower()
+        said = None
+        found = []
+        for name, wanted, n in self.short:
+            if not all(w in low for w in wanted.split()):
+                continue
+            said = f" {' '.join(_word(low))} " if said is None else said
+            at = said.find(wanted)
+            if at >= 0:
+                start = said.count(" ", 0, at)
+                found.append((name, 1, 1, 1.0, start, start + n))
+        return found
 
     def scan(self, text: str) -> list[tuple]:
         """(id, matched, shingles, containment, start word, end word) of each template's best window."""
         shingles = sequence(text, self.size)
         best: dict[str, tuple] = {}
-        longest = max(self.classes)
+        longest = max(self.classes, default=1)
         step = max(BLOCK, longest)  # a power of 2, so that every class has windows that begin with the block
         for at in range(0, len(shingles), step):
             block = shingles[at : at + step + longest]
+            if not np.isin(block, self.known).any():
+                continue
             all_hashed = _hashed(block)
             for c, templates in self.classes.items():
                 part, hashed = block[: step + c], all_hashed[: step + c]
@@ -104,25 +169,25 @@ class Scanner:
                         if 100 * matched >= self.percent * len(wanted) and matched > best.get(name, (0, 0))[1]:
                             where = np.flatnonzero(isin) + at + k * c
                             best[name] = (name, matched, len(wanted), matched / len(wanted), int(where[0]), int(where[-1]) + self.size)
-        return sorted(best.values())
+        return sorted([*best.values(), *self._short(text)])
 
 
 def scan_licenses(
     docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text",
-    size: int = SIZE, percent: int = PERCENT,
+    size: int = SIZE, percent: int = PERCENT, short: bool = False,
 ) -> DataFrame:
     """A row per document and template that it holds: ``id_col`` and SCHEMA.
 
     ``matched`` of the template's ``shingles`` stand in its best window, the first of equals;
     start_word and end_word (exclusive) bound them in the document. Null and empty texts hold
     none; repeated rows and null ids give rows of their own; other columns play no part; an empty
-    table gives an empty one.
+    table gives an empty one. Templates of fewer than ``size`` words are refused unless ``short``.
     """
-    Scanner(templates, size, percent)  # refuses bad templates here rather than in a task
+    Scanner(templates, size, percent, short)  # refuses bad templates here rather than in a task
     names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, size, percent)
+        scanner = Scanner(templates, size, percent, short)
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

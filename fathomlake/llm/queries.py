@@ -11,7 +11,7 @@ from .chat_format import format_chat
 from .common import read
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
-from .license_scan import scan_licenses
+from .license_scan import ALL, scan_licenses
 from .mixing import mix
 from .packing import pack_documents
 from .pii import KINDS, find_pii, written_spans
@@ -28,7 +28,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read(spark, sf_dir, "documents"))
+    return scan_licenses(read(spark, sf_dir, "documents"), ALL, short=True)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,6 +334,17 @@ def test_license_scan(spark, documents_on_disk, empty):
         license_scan.Scanner([("short", "MIT License")])
 
 
+def test_license_lines_of_few_words(spark):
+    rows = [(1, "some text\nAll rights reserved.\nmore"), (2, "SPDX-License-Identifier: MIT"), (3, "all rights are reserved"), (4, "small rights reserved")]
+    rows += [(10 + k, f"words before {text} words after") for k, (_, text) in enumerate(license_scan.ALL)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license_id): (r.start_word, r.end_word) for r in license_scan.scan_licenses(frame, license_scan.ALL, short=True).collect()}
+    assert got[1, "all-rights-reserved"] == (2, 5) and got[2, "MIT-SPDX"] == (0, 4) and not {k for k in got if k[0] in (3, 4)}
+    for k, (name, text) in enumerate(license_scan.ALL):
+        assert got[10 + k, name] == (2, 2 + len(re.findall(r"\w+", text)))
+    assert len({name for name, _ in license_scan.ALL}) == len(license_scan.ALL)
+
+
 def test_record_bytes_are_stable():
     data = warc.record(1, "http://a", b"x", 1, hashlib.sha1(b"x").hexdigest(), None)
     assert data == warc.record(1, "http://a", b"x", 1, hashlib.sha1(b"x").hexdigest(), None) and struct.unpack("<H", data[:2])[0] == 0x8B1F
