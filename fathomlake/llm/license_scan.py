@@ -140,15 +140,44 @@ class Scanner:
                 continue
             said = f" {' '.join(_word(low))} " if said is None else said
             at = said.find(wanted)
-            if at >= 0:
-                start = said.count(" ", 0, at)
+            start, last = 0, 0
+            while at >= 0:
+                start, last = start + said.count(" ", last, at), at
                 found.append((name, 1, 1, 1.0, start, start + n))
+                at = said.find(wanted, at + len(wanted) - 1)  # the space between two matches is of both
+        return found
+
+    def _places(self, hits: dict[int, int], name: str, n: int, reach: int) -> list[tuple]:
+        """Every match among ``hits`` (shingles by place), none of which overlap: runs of up to ``reach`` places."""
+        found: list[tuple] = []
+        run: dict[int, int] = {}  # places by shingle, in order of place
+        free = 0
+
+        def close() -> bool:
+            nonlocal run, free
+            if 100 * len(run) < self.percent * n:
+                return False
+            places = list(run.values())
+            free = places[-1] + self.size
+            found.append((name, len(run), n, len(run) / n, places[0], free))
+            run = {}
+            return True
+
+        for at, shingle in sorted(hits.items()):
+            if shingle in run or (run and at - next(iter(run.values())) >= reach):
+                if not close():
+                    run.pop(shingle, None)
+                    while run and at - next(iter(run.values())) >= reach:
+                        del run[next(iter(run))]
+            if at >= free:
+                run[shingle] = at
+        close()
         return found
 
     def scan(self, text: str) -> list[tuple]:
-        """(id, matched, shingles, containment, start word, end word) of each template's best window."""
+        """(id, matched, shingles, containment, start word, end word) of each template's matches."""
         shingles = sequence(text, self.size)
-        best: dict[str, tuple] = {}
+        hits: dict[tuple, dict[int, int]] = {}
         longest = max(self.classes, default=1)
         step = max(BLOCK, longest)  # a power of 2, so that every class has windows that begin with the block
         for at in range(0, len(shingles), step):
@@ -165,21 +194,22 @@ class Scanner:
                     for k in np.flatnonzero((windows == least).any(axis=1)):
                         held = part[k * c : (k + 2) * c]
                         isin = np.isin(held, wanted)
-                        matched = len(np.unique(held[isin]))
-                        if 100 * matched >= self.percent * len(wanted) and matched > best.get(name, (0, 0))[1]:
-                            where = np.flatnonzero(isin) + at + k * c
-                            best[name] = (name, matched, len(wanted), matched / len(wanted), int(where[0]), int(where[-1]) + self.size)
-        return sorted([*best.values(), *self._short(text)])
+                        if 100 * len(np.unique(held[isin])) >= self.percent * len(wanted):
+                            where = np.flatnonzero(isin)
+                            places = (where + (at + int(k) * c)).tolist()
+                            hits.setdefault((name, len(wanted), 2 * c), {}).update(zip(places, held[where].tolist(), strict=True))
+        found = [x for (name, n, reach), where in hits.items() for x in self._places(where, name, n, reach)]
+        return sorted([*found, *self._short(text)])
 
 
 def scan_licenses(
     docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text",
     size: int = SIZE, percent: int = PERCENT, short: bool = False,
 ) -> DataFrame:
-    """A row per document and template that it holds: ``id_col`` and SCHEMA.
+    """A row per document, template and place where it holds it: ``id_col`` and SCHEMA.
 
-    ``matched`` of the template's ``shingles`` stand in its best window, the first of equals;
-    start_word and end_word (exclusive) bound them in the document. Null and empty texts hold
+    ``matched`` of the template's ``shingles`` stand there; start_word and end_word (exclusive) bound
+    them in the document. Places of one template do not overlap. Null and empty texts hold
     none; repeated rows and null ids give rows of their own; other columns play no part; an empty
     table gives an empty one. Templates of fewer than ``size`` words are refused unless ``short``.
     """

@@ -345,6 +345,24 @@ def test_license_lines_of_few_words(spark):
     assert len({name for name, _ in license_scan.ALL}) == len(license_scan.ALL)
 
 
+def test_license_scan_gives_every_place():
+    """Copies apart, copies that follow each other, edited ones, and copies across blocks."""
+    scanner = license_scan.Scanner(license_scan.ALL, short=True)
+    rng = random.Random(4)
+    for name, text in license_scan.ALL:
+        said = re.findall(r"\w+", text.lower())
+        for gaps in ([0, 0, 0], [3, 0, 40], [rng.randint(0, 99), 1, 2], [32_760, 32_760, 5]):
+            words, want = [], []
+            for k, gap in enumerate(gaps):
+                words += [f"w{rng.randrange(10**6)}" for _ in range(gap)]
+                want.append((len(words), len(words) + len(said)))
+                words += said
+                if k == 1 and len(said) > 60:
+                    words[-30] = "edited"
+            got = [(r[4], r[5]) for r in scanner.scan(" ".join(words)) if r[0] == name]
+            assert sorted(got) == want, (name, gaps)
+
+
 def test_record_bytes_are_stable():
     data = warc.record(1, "http://a", b"x", 1, hashlib.sha1(b"x").hexdigest(), None)
     assert data == warc.record(1, "http://a", b"x", 1, hashlib.sha1(b"x").hexdigest(), None) and struct.unpack("<H", data[:2])[0] == 0x8B1F
