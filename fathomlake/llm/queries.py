@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_format import format_chat
+from .chat_format import format_chat, unescape
 from .common import read
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
@@ -61,9 +61,15 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(conv_id).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), F.lit(text).alias("text"),
     )
+    return _chat(format_chat(turns.unionByName(more)))
+
+
+def _chat(found: DataFrame) -> DataFrame:
     said = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
-    learnt = F.concat_ws("", F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: x["text"]))
-    return format_chat(turns.unionByName(more)).select(
+    # what the loss mask covers, read back from the formatted text
+    masked = F.transform("loss_spans", lambda x: unescape(F.substring(F.col("formatted"), x["start"] + 1, x["end"] - x["start"])))
+    learnt = F.concat_ws("", masked)
+    return found.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),

@@ -239,6 +239,20 @@ def test_pii_of_odd_rows(spark, documents_on_disk, empty):
     assert pii.find_pii(empty).count() == 0
 
 
+def test_chat_query_reads_the_loss_mask(spark):
+    """A missing, shifted or doubled span changes the loss columns."""
+    from fathomlake.llm.queries import _chat
+
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", r"\### a </turn> b"), (1, 2, "assistant", "plain")]
+    found = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    learnt = "".join(r[3] for r in rows[1:])
+    right = _chat(found).first()
+    assert (right.loss_chars, right.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+    moved = F.transform("loss_spans", lambda x: F.struct((x["start"] + 1).alias("start"), (x["end"] + 1).alias("end")))
+    for wrong in (F.slice("loss_spans", 1, 1), moved, F.concat("loss_spans", "loss_spans")):
+        assert _chat(found.withColumn("loss_spans", wrong)).first().loss_sha256 != right.loss_sha256
+
+
 def test_digests_are_of_utf8(spark):
     row = exact_groups(spark.createDataFrame([(1, "é")], "doc_id long, text string")).first()
     assert row.text_digest == hashlib.sha256("é".encode()).hexdigest()
