@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fathomlake-"))
         base = context.getCheckpointDir()
     return base.rstrip("/")
@@ -42,30 +43,39 @@ class Scratch:
         return f"{self.root}/{self._n}-{name}"
 
     def cut(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        """``df`` written as Parquet and read again."""
+        """``df`` written as Parquet and read again. Spark deletes the shuffle files of the write at its end."""
         path = self.path(name)
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        with _shuffles_deleted(self.spark):
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._scratch_path = path
         return table
 
-    def free(self, table: DataFrame) -> None:
-        """Delete the files of a table that :meth:`cut` made and that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def free(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that :meth:`cut` made and that nothing reads any more."""
+        for table in tables:
+            self._delete(table._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all tables."""
+        self._delete(self.root)
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps now.
 
-        It does so when the driver collects its garbage, which a short chain of large steps may
-        not live to see. The first collection lets go of what Python held, the second of the rest.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(1)
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Executions in the block delete their shuffle files when they end; inside they are kept for retries."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:

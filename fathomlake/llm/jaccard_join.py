@@ -15,14 +15,23 @@ it is linked to.
 
 Steps, none of which holds a group of documents in one task:
 
-1. texts are merged if equal, partly before the shuffle;
+1. texts are merged if equal, partly before the shuffle, and written once with an id;
 2. one pass over the texts makes signatures; one sort by signature keeps those of two texts or more;
-3. star rounds: in each bucket of a signature all texts are compared to the one that shares most
-   signatures with others, links are merged into components, and the centres leave their buckets;
-4. what is then left in a bucket in different components is compared pair by pair. Sizes and 256
-   parities of element counts, which bound the difference from below, spare most comparisons.
-
-Comparisons are of the whole sets, made anew from the texts. Elements are 64-bit hashes.
+3. each bucket of a signature has a centre, the text that shares most signatures with others. The
+   members of all buckets of a centre are its group. They are compared to the centre, and measured
+   against a reference set: what most of a few members of the group hold;
+4. what a group has in common is now set aside. With D(x) the difference of x and the reference,
+   x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| elements. So the member nearest to the
+   reference is linked to all that differ little from it, and any other linked pair has to share
+   t elements of D. In any fixed order of D (here rare elements first) one of them is among the
+   first |D| - t + 1 of both: a key far rarer than a signature, since copies that were changed
+   independently have different changes. Entries that no partner in their bucket can use go, by
+   the sizes of D;
+5. buckets with few texts outside the group's main component are compared, those to the others;
+   the rest are buckets for step 3 again, with the bound on "few" doubled, so that this ends.
+
+Comparisons are of the whole sets. Elements are 64-bit hashes. A pair of different components that
+no step compares is proved not to be linked, so no link is lost.
 """
 
 from __future__ import annotations
@@ -41,7 +50,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-STAR_ROUNDS = 2
+#: Texts of other components that a bucket may hold to be compared at once; doubled every round.
+FAN = 8
+#: Members of a group that vote on its reference, and members that are measured in one place.
+VOTERS, TOGETHER = 8, 256
 _MASK = (1 << 64) - 1
 
 
@@ -155,46 +167,42 @@ def part_enum(percent: int) -> PartEnum:
     return PartEnum(percent)
 
 
-def _parities(elements: np.ndarray) -> np.ndarray:
-    counts = np.bincount((_mix(elements, 5) >> np.uint64(56)).astype(np.int64), minlength=256)
-    return np.packbits((counts & 1).astype(np.uint8)).view(">i8").astype(np.int64)
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _sign(size: int, percent: int) -> Callable:
-    """(id, text) -> rows (key, id, d): signatures with d null, and one row per text with its size and parities."""
+    """(id, t) -> rows (key, id, n): signatures with n null, and one row per text with the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum = part_enum(percent)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                keys, ids, about = [], [], []
+                keys, ids, sizes = [], [], []
                 own = some.column("id").to_numpy()
                 for i, text in zip(own, some.column("t").to_pylist(), strict=True):
                     elements = shingles(text, size)
                     keys.append(enum.signatures(elements))
                     ids.append(np.full(len(keys[-1]), i, np.int64))
-                    about.append(np.concatenate([[len(elements)], _parities(elements)]).astype(np.int64).tobytes())
+                    sizes.append(len(elements))
                 n = sum(map(len, keys))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate([*keys, _mix(own.view(np.uint64), 6)]).view(np.int64)),
                     pa.array(np.concatenate([*ids, own])),
-                    pa.array([None] * n + about, pa.binary()),
-                ], ["key", "id", "d"])
+                    pa.array(np.concatenate([np.zeros(n, np.int64), np.array(sizes, np.int64)]), mask=np.arange(n + len(own)) < n),
+                ], ["key", "id", "n"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of key, those about texts, and the signatures that a neighbour has as well."""
+    names = ["key", "id", "n"]
     last: tuple[int, int, bool] | None = None  # a signature whose next neighbour is still to come, and if it is shared
     for batch in batches:
-        is_text = batch.column("d").is_valid().to_numpy(zero_copy_only=False)
+        is_text = batch.column("n").is_valid().to_numpy(zero_copy_only=False)
         key, i = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
         k, j = key[~is_text], i[~is_text]
         if last is not None:
@@ -207,31 +215,94 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[0] = True
         if len(k):
             last, k, j, keep = (int(k[-1]), int(j[-1]), bool(keep[-1])), k[:-1], j[:-1], keep[:-1]
-        k, j, texts = k[keep], j[keep], batch.filter(pa.array(is_text))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([k, texts.column("key").to_numpy()])), pa.array(np.concatenate([j, texts.column("id").to_numpy()])),
-            pa.array([None] * len(k) + texts.column("d").to_pylist(), pa.binary()),
-        ], ["key", "id", "d"])
+        k, j = k[keep], j[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(j), pa.nulls(len(k), pa.int64())], names)
+        yield batch.filter(pa.array(is_text)).select(names)
     if last is not None and last[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([None], pa.binary())], ["key", "id", "d"])
+        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.nulls(1, pa.int64())], names)
 
 
-def _compare(size: int, percent: int) -> Callable:
+def _sets(size: int) -> Callable:
+    """(id, t) -> (id, s): the set of a text as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                found = [shingles(text, size).tobytes() for text in some.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(found, pa.binary())], ["id", "s"])
+
+    return run
+
+
+def _elements(data) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), np.uint64) if isinstance(data, pa.BinaryScalar) else np.frombuffer(data, np.uint64)
+
 
-        def set_of(i: int, text) -> np.ndarray:
-            if i not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[i] = shingles(text.as_py(), size)
-            return known[i]
+def _vote(voters: pa.Table) -> pa.Table:
+    """The reference of a group from its voters (c, s), at most VOTERS and the centre: e, the elements of two or
+    more of them, and r, how unusual a set is that differs there. Negative r: most hold the element."""
+    found, count = np.unique(np.concatenate([_elements(s) for s in voters.column("s")]), return_counts=True)
+    found, count = found[count > 1], count[count > 1]
+    most = 2 * count > voters.num_rows
+    rank = np.where(most, count - voters.num_rows - 1, count).astype(np.int8)
+    return pa.table({"c": voters.column("c")[:1], "e": pa.array([found.tobytes()], pa.binary()), "r": pa.array([rank.tobytes()], pa.binary())})
 
+
+def _measure(percent: int) -> Callable:
+    """Rows in order of (c, part, id): first the centre's set s and its reference (e, r), id null, then members with their sets.
+
+    -> (c, id, linked, d, a, p): whether the centre is linked, d = |D|, a the slack of :func:`_links`, and as many
+    elements of D, in order, as any partner can ask for.
+    """
+    q = 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = common = seen = rank = None
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("ta"), batch.column("tb")
-            kept = [k for k in range(len(a)) if linked(set_of(a[k], ta[k]), set_of(b[k], tb[k]), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in kept], pa.int64()) for x in (a, b)], ["a", "b"])
+            out = {c: [] for c in ("c", "id", "linked", "d", "a", "p")}
+            c, ids = batch.column("c").to_pylist(), batch.column("id").to_pylist()
+            sets, e, r = (batch.column(x) for x in ("s", "e", "r"))
+            for k, i in enumerate(ids):
+                own = _elements(sets[k])
+                if i is None:
+                    centre = own.copy()
+                    if e[k].is_valid:
+                        seen = _elements(e[k]).copy()
+                        rank = np.frombuffer(r[k].as_py(), np.int8).astype(np.int16)
+                        common = seen[rank < 0]
+                    else:
+                        seen, rank, common = centre, np.full(len(centre), -2, np.int16), centre
+                    continue
+                differ = np.setxor1d(own, common, assume_unique=True)
+                at = np.searchsorted(seen, differ)
+                at[at == len(seen)] = 0
+                known = seen[at] == differ if len(seen) else np.zeros(len(differ), bool)
+                rare = np.where(known, np.abs(rank[at]), 0) if len(seen) else np.zeros(len(differ), np.int16)
+                n, d = len(own), len(differ)
+                slack = n * (100 - percent) - d * q
+                # no partner has more slack than this, or it would be too small or too large
+                most = n * (100 - percent) * (percent + 200) // percent + 1 - d * q
+                first = d - max(1, -((slack + most) // (2 * q))) + 1
+                order = np.lexsort((differ, rare))[: max(first, 0)]
+                out["c"].append(c[k])
+                out["id"].append(i)
+                out["linked"].append(linked(centre, own, percent))
+                out["d"].append(d)
+                out["a"].append(slack)
+                out["p"].append((differ[order] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            types = {"c": pa.int64(), "id": pa.int64(), "linked": pa.bool_(), "d": pa.int64(), "a": pa.int64(), "p": pa.list_(pa.int32())}
+            yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in types.items()], list(types))
+
+    return run
+
+
+def _compare(percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = batch.column("sa"), batch.column("sb")
+            kept = [linked(_elements(sa[k]), _elements(sb[k]), percent) for k in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
@@ -270,118 +341,180 @@ class _Components:
         self.labels = self._scratch.cut(labels, "labels")
 
 
-def _texts(docs: DataFrame, text_col: str) -> Column:
-    return F.coalesce(F.col(text_col), F.lit(""))
+def _digest(text_col: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
 
+def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int) -> tuple[DataFrame, DataFrame]:
+    """(about: id, n of each text), (labels: id, label of the linked ones) of ``texts`` (id, t), which are written.
 
-def _links(docs: DataFrame, text_col: str, size: int, percent: int, scratch: Scratch, star_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(about: id, n of each different text), (labels: id, label of the linked ones); a text's id is its first row's."""
-    rows = docs.select(F.monotonically_increasing_id().alias("r"), _texts(docs, text_col).alias("t"))
-    different = rows.groupBy("t").agg(F.min("r").alias("id"))
-    schema = "key long, id long, d binary"
+    Slack is counted in units of 1 / (100 + percent): a(x) = |x| (100 - percent) - |D(x)| (100 + percent). Texts
+    with a(x) + a(y) >= 0 are linked, and others need -(a(x) + a(y)) / 2 common elements of D to be.
+    """
+    q = 100 + percent
+    schema = "key long, id long, n long"
     signed = scratch.cut(
-        different.mapInArrow(_sign(size, percent), schema).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, schema), "signed"
+        texts.select("id", "t").mapInArrow(_sign(size, percent), schema).repartition("key").sortWithinPartitions("key").mapInArrow(_shared, schema),
+        "signed",
     )
-    scratch.release()
-    about = signed.where("d is not null").mapInArrow(_unpack, "id long, n long, p0 long, p1 long, p2 long, p3 long")
-    about = scratch.cut(about, "about")
-    active = signed.where("d is null").select("key", "id")
-    weight = active.join(active.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key").groupBy("id").agg(F.sum(F.col("m") - 1).alias("w"))
-    active = scratch.cut(active.join(weight.join(about, "id"), "id"), "active")
-    scratch.release()
-    texts = scratch.cut(rows.join(active.select(F.col("id").alias("r")).distinct(), "r", "left_semi").select(F.col("r").alias("id"), "t"), "texts")
-    scratch.release()
-    components, tested = _Components(scratch), None
-
-    def as_other(df: DataFrame) -> DataFrame:
-        return df.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "c", "n", "p0", "p1", "p2", "p3")))
-
-    def candidates(some: DataFrame, others: DataFrame, apart: Column) -> DataFrame:
-        """Pairs of one bucket, in different components, that sizes and parities leave. The join
-        itself drops the others, so that they are never rows."""
-        differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_"))) for k in range(4)), F.lit(0))
-        few = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n_"))
-        sizes = 100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")
-        others = others.withColumnRenamed("key", "key_")
-        found = some.join(others, (F.col("key") == F.col("key_")) & apart & (F.col("c") != F.col("c_")) & sizes & few)
-        return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
-
-    def compare(pairs: DataFrame) -> None:
-        nonlocal tested
-        pairs = scratch.cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        scratch.release()
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        one = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-        two = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-        found = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(size, percent), "a long, b long")
+    about = signed.where("n is not null").select("id", "n")
+    buckets = signed.where("n is null").select("key", "id")
+    counts = scratch.cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "counts")
+    weights = scratch.cut(buckets.join(counts, "key").groupBy("id").agg(F.sum(F.col("m") - 1).alias("w")), "weights")
+    sets = scratch.cut(texts.join(weights.select("id"), "id", "left_semi").select("id", "t").mapInArrow(_sets(size), "id long, s binary"), "sets")
+    active = scratch.cut(buckets.join(weights, "id").select("key", "id", "w"), "active")
+    components = _Components(scratch)
+    while not active.isEmpty():
+        # of equal weights the same text everywhere, so that buckets share their centres
+        order = F.struct("w", F.xxhash64("id").alias("x"))
+        centres = scratch.cut(active.groupBy("key").agg(F.max_by("id", order).alias("c")), "centres")
+        groups = scratch.cut(active.join(centres, "key").select("c", "id").distinct(), "groups")
+        measured = _measured(groups, sets, percent, scratch)
+        nearest = scratch.cut(measured.groupBy("c").agg(F.max_by("id", F.struct("a", "id")).alias("near"), F.max("a").alias("top")), "nearest")
+        star = measured.where("linked and id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"))
+        sure = measured.join(nearest, "c").where("a + top >= 0 and id <> near").select(F.col("near").alias("a"), F.col("id").alias("b"))
+        components.add(scratch.cut(star.unionByName(sure).distinct(), "links"))
+
+        main = components.of(nearest, "near", "main").select("c", "top", "main")
+        members = components.of(measured.select("c", "id", "d", "a", "p").join(main, "c"), "id", "comp").withColumn("other", F.col("comp") != F.col("main"))
+        others = scratch.cut(members.where("other").groupBy("c").agg(F.max("a").alias("top_other")), "others")
+        entries = scratch.cut(_entries(members.join(others, "c"), percent), "entries")
+        live = scratch.cut(_live(entries, scratch, "stats"), "live")
+        fewer = scratch.cut(_live(live, scratch, "stats"), "fewer")
+        many = F.col("others") > fan
+        pairs = scratch.cut(_pairs(fewer.where(~many)), "pairs")
+        one, two = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+        found = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_compare(percent), "a long, b long")
         components.add(scratch.cut(found, "links"))
 
-    def still(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold more than one component."""
-        rows = components.of(rows.drop("c"), "id", "c")
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        return scratch.cut(rows.join(mixed, "key", "left_semi"), "active")
-
-    active = active.withColumn("c", F.col("id"))
-    for _ in range(star_rounds):
-        # of equal weights the same text everywhere, so that buckets share their centres
-        order = F.shiftleft(F.col("w").cast("long"), 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-        centres = scratch.cut(active.withColumn("o", order).groupBy("key").agg(F.max_by("id", "o").alias("id")), "centres")
-        compare(candidates(active, as_other(components.of(centres.join(about, "id"), "id", "c")), F.col("id") != F.col("id_")))
-        active = still(active.join(centres, ["key", "id"], "left_anti"))
-        scratch.release()
-        if active.isEmpty():
-            return about, components.labels
-    compare(candidates(active, as_other(active), F.col("id") < F.col("id_")))
+        rest = components.of(fewer.where(many).select("key", "id", F.col("other").cast("long").alias("w")).distinct(), "id", "comp")
+        mixed = scratch.cut(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
+        done = (active, centres, groups, measured, nearest, others, entries, live, fewer, pairs, mixed)
+        active = scratch.cut(rest.drop("comp").join(mixed, "key", "left_semi"), "active")
+        scratch.free(*done)
+        fan *= 2
     return about, components.labels
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n", "p0", "p1", "p2", "p3"]
-    for batch in batches:
-        numbers = np.frombuffer(b"".join(batch.column("d").to_pylist()), np.int64).reshape(-1, len(names))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(c)) for c in numbers.T)], ["id", *names])
+def _measured(groups: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """:func:`_measure` of every member of every group (c, id); groups are dealt out in parts."""
+    sizes = scratch.cut(groups.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    slot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(VOTERS))
+    voters = groups.join(sizes.where("m > 2").select("c"), "c").groupBy("c", slot.alias("slot")).agg(F.min("id").alias("id")).select("c", "id")
+    voters = voters.unionByName(sizes.where("m > 2").select("c", F.col("c").alias("id"))).distinct()
+    votes = voters.join(sets, "id").select("c", "s").groupBy("c").applyInArrow(_vote, "c long, e binary, r binary")
+    votes = scratch.cut(votes, "votes")
+    parts = F.ceil(F.col("m") / TOGETHER)
+    centres = sizes.join(sets.withColumnRenamed("id", "c"), "c").join(votes, "c", "left")
+    centres = centres.select("c", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "s", "e", "r")
+    nothing = F.lit(None).cast("binary")
+    members = groups.join(sizes, "c").select("c", F.pmod(F.xxhash64("id", F.lit(2)), parts).alias("part"), "id")
+    members = members.join(sets, "id").select("c", "part", "id", "s", nothing.alias("e"), nothing.alias("r"))
+    dealt = centres.unionByName(members).repartition("c", "part").sortWithinPartitions("c", "part", "id")
+    measured = dealt.mapInArrow(_measure(percent), "c long, id long, linked boolean, d long, a long, p array<int>")
+    return scratch.cut(measured, "measured")
+
+
+def _entries(members: DataFrame, percent: int) -> DataFrame:
+    """key, role, id, comp, other, a, need: a row per element of D that may meet a partner in another component.
+
+    Texts of the main component look for others (role 0 and 1), others for one another (role 0) or, further
+    down their order, for the main component (role 1). ``need`` is the slack that a partner must have at least.
+    """
+    q = 100 + percent
 
+    def first(most: Column) -> Column:
+        """How many elements of D, in order, partners of at most that slack have to be met by."""
+        least = F.greatest(F.lit(1).cast("long"), F.ceil(-(F.col("a") + most) / F.lit(2 * q)))
+        return F.least(F.col("d") - least + 1, F.size("p").cast("long"))
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, star_rounds: int) -> DataFrame:
-    """r (row), i (id), n (set size), root (a text of its component) of each row; without words the root is null."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    about, labels = _links(docs, text_col, size, percent, scratch, star_rounds)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("r"), F.col(id_col).cast("long").alias("i"), F.sha2(_texts(docs, text_col), 256).alias("h")
+    near, far = first(F.col("top_other")), first(F.col("top"))
+    found = members.withColumn("near", near).withColumn("upto", F.when(F.col("other"), F.greatest(far, near)).otherwise(near)).where("upto > 0")
+    found = found.select(
+        "c", "id", "comp", "other", "a", "d", "near", F.posexplode(F.slice("p", F.lit(1), F.col("upto").cast("int"))).alias("k", "element")
     )
-    rows = scratch.cut(rows, "rows")
-    of_text = rows.groupBy("h").agg(F.min("r").alias("id")).join(about.select("id", "n"), "id").join(labels, "id", "left")
+    roles = F.when(~F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("k") < F.col("near"), 0).otherwise(1)))
+    found = found.select("*", F.explode(roles).alias("role"))
+    need = -F.col("a") - 2 * q * (F.col("d") - F.col("k"))
+    return found.select(F.xxhash64("c", "role", "element").alias("key"), "role", "id", "comp", "other", "a", need.alias("need"))
+
+
+def _live(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Entries with a bucket of several components in which some text has the slack they need; with the
+    number of ``others`` in the bucket."""
+    stats = entries.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("a").alias("most"), F.sum(F.col("other").cast("long")).alias("others"),
+        F.max("role").alias("of"), F.bool_and("other").alias("alone"),
+    ).where("lo <> hi and not (of = 1 and alone)").select("key", "most", "others")
+    return entries.drop("others").join(scratch.cut(stats, name), "key").where("need <= most").drop("most")
+
+
+def _pairs(live: DataFrame) -> DataFrame:
+    """(a, b): every text outside the main component with those in its buckets that it may be linked to.
+
+    A bucket holds at most ``fan`` such texts, so a row meets at most so many others."""
+    mine = live.where("other")
+    theirs = live.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "comp", "other", "a", "need")))
+    found = mine.join(theirs, "key").where("comp <> comp_ and not (role = 1 and other_) and need <= a_ and need_ <= a")
+    return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, fan: int, out: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows: h, i of each row), (of: h, n, root, i0 of each text), tables of ``out``: h tells texts apart, n is the size of
+    a text's set, root a text of its component (null without words), i0 its smallest id."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).distinct().select(F.monotonically_increasing_id().alias("id"), F.sha2("t", 256).alias("h"), "t")
+    texts = scratch.cut(texts, "texts")
+    about, labels = _links(texts, size, percent, scratch, fan)
+    rows = out.cut(docs.select(_digest(text_col).alias("h"), F.col(id_col).cast("long").alias("i")), "rows")
+    least = rows.groupBy("h").agg(F.min("i").alias("i0"))
     root = F.when(F.col("n") > 0, F.coalesce("label", "id"))
-    return scratch.cut(rows.join(of_text.select("h", "n", root.alias("root")), "h").select("r", "i", "n", "root"), "labelled")
+    of = texts.select("id", "h").join(about, "id").join(labels, "id", "left").select("h", "n", root.alias("root")).join(least, "h")
+    of = out.cut(of, "of")
+    scratch.clear()
+    return rows, of
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fan: int = FAN
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_shingles, component_id.
 
     component_id is the smallest id that links reach, the row's own included. A text without words,
     empty or null, has no shingles and its own id; rows that repeat a text with words are linked.
-    Null ids are passed over for component_id unless there is no other. Other columns play no part.
-    An empty table gives an empty one. The input has to read alike twice, as tables do.
+    Null ids are passed over for component_id unless there is no other. Very long texts are compared
+    whole. Other columns play no part, whatever their names. An empty table gives an empty one.
+    Rows are told apart by nothing but their id and text.
     """
-    rows = _labelled(docs, id_col, text_col, size, percent, star_rounds)
-    least = rows.where("root is not null").groupBy("root").agg(F.min("i").alias("c"))
-    return rows.join(least, "root", "left").select(
-        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("i")).otherwise(F.col("c")).alias("component_id")
+    scratch = Scratch(docs.sparkSession, "components")
+    rows, of = _labelled(docs, id_col, text_col, size, percent, fan, scratch)
+    least = scratch.cut(of.where("root is not null").groupBy("root").agg(F.min("i0").alias("least")), "least")
+    of = scratch.cut(of.join(least, "root", "left").select("h", "n", "root", "least"), "of")
+    return rows.join(of, "h").select(
+        F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("i")).otherwise(F.col("least")).alias("component_id")
     )
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, fan: int = FAN
 ) -> DataFrame:
     """The rows of ``docs``, one of each component of :func:`jaccard_components`: that with the smallest id.
 
-    Of rows that repeat it one stays; null ids are largest. Rows without words all stay.
+    Null ids are largest. Of rows that repeat both id and text one stays, the first by their other
+    columns written as JSON. Rows without words all stay. Columns are returned as they are, whatever
+    their names; an empty table gives an empty one.
     """
-    rows = _labelled(docs, id_col, text_col, size, percent, star_rounds)
-    order = F.coalesce("i", F.lit((1 << 63) - 1))
-    kept = rows.where("root is not null").groupBy("root").agg(F.min_by("r", order).alias("__row")).select("__row")
-    kept = kept.unionByName(rows.where("root is null").select(F.col("r").alias("__row")))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "near")
+    rows, of = _labelled(docs, id_col, text_col, size, percent, fan, scratch)
+    order = F.struct(F.col("i0").isNull(), "i0", "h")
+    first = of.where("root is not null").groupBy("root").agg(F.min(order).alias("o")).select("o.h", F.col("o.i0").alias("keep"))
+    times = rows.join(first, "h").where("i <=> keep").groupBy("h", "keep").agg(F.count(F.lit(1)).alias("times"))
+    keep = times.unionByName(of.where("root is null").select("h", F.lit(None).cast("long").alias("keep"), F.lit(0).cast("long").alias("times")))
+    keep = scratch.cut(keep, "keep")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _digest(text_col).alias("h"), F.col(id_col).cast("long").alias("i"))
+    kept = whole.join(keep.where("times < 2"), "h").where("times = 0 or i <=> keep").select("row")
+    repeated = keep.where("times > 1")
+    if not repeated.isEmpty():
+        again = whole.join(repeated, "h").where("i <=> keep")
+        kept = kept.unionByName(again.groupBy("h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return kept.select("row.*")

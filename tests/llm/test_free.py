@@ -265,16 +265,16 @@ def near_copies(seed: int) -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "stars"), [(4, 85, 2), (5, 80, 0), (2, 90, 1)])
-def test_jaccard_components(spark, tmp_path, size, percent, stars):
+@pytest.mark.parametrize(("size", "percent", "fan"), [(4, 85, 8), (5, 80, 1), (2, 90, 1)])
+def test_jaccard_components(spark, tmp_path, size, percent, fan):
     rows = near_copies(size) + [(5000, None), (5001, ""), (5002, " \n"), (5003, "One two"), (5004, "one\tTWO"), (None, "one two"), (5003, "One two")]
     path = str(tmp_path / "d")
     spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string").repartition(3).write.parquet(path)
     docs = spark.read.parquet(path)
-    got = jaccard_join.jaccard_components(docs, size=size, percent=percent, star_rounds=stars).collect()
+    got = jaccard_join.jaccard_components(docs, size=size, percent=percent, fan=fan).collect()
     want = slow_components(rows, size, percent)
     assert Counter(map(tuple, got)) == Counter(want)
-    if stars == 2:
+    if fan == 8:
         kept = jaccard_join.near_dedup(docs, size=size, percent=percent)
         assert kept.columns == docs.columns
         held = [r.doc_id for r in kept.collect()]
