@@ -15,6 +15,7 @@ Files are opened through pyarrow's file systems, in the shared folder.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,42 +37,68 @@ _ROWS = "page_id long, url string, payload_bytes long, payload_digest string, re
 
 
 def plan_records(pages: DataFrame, id_col: str, payload_col: str, url_col: str, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, digest, refers_to.
+    """page_id, url, payload (null for revisits), payload_bytes, digest, copy, revisit, refers_to, refers_url.
 
-    Payloads are equal if their lengths, SHA-1 and SHA-256 all are. Of repeated rows with the
-    largest id exactly one is the response.
+    Payloads are equal if their lengths, SHA-1 and SHA-256 all are. Of equal ones the page with the largest
+    id, then URL, is the response. Pages that repeat id, URL and payload are told apart by ``copy``, from 1.
     """
     text = F.coalesce(F.col(payload_col), F.lit(""))
-    row = F.monotonically_increasing_id().alias("r")
     keys = (F.octet_length(text).cast("long").alias("n"), F.sha1(text).alias("d"), F.sha2(text, 256).alias("d2"))
-    page = F.col(id_col).cast("long").alias("i")
+    own = (F.col(id_col).cast("long").alias("i"), F.col(url_col).cast("string").alias("u"), *keys)
+    scratch = Scratch(pages.sparkSession, "pages")
+    alike = ["i", "u", "n", "d", "d2"]
+    repeated = scratch.cut(pages.select(*own).groupBy(*alike).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "repeated")
+    rows = pages.select(*own, text.alias("t"))
+    once = rows.withColumn("copy", F.lit(1).cast("long"))
+    if not repeated.isEmpty():
+        other = repeated.select(*(F.col(c).alias(f"{c}_") for c in alike), "copies")
+        same = (F.col("d2") == F.col("d2_")) & F.col("i").eqNullSafe(F.col("i_")) & F.col("u").eqNullSafe(F.col("u_"))
+        again = rows.join(other, same).groupBy(*alike, "copies").agg(F.min("t").alias("t"))
+        again = again.select(*alike, "t", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+        once = once.join(other, same, "left_anti").unionByName(again)
     best = (
-        pages.select(page, row, *keys)
+        pages.select(*own)
         .where(F.col("n") >= least)
-        .withColumn("o", F.coalesce("i", F.lit(-(1 << 63))))
         .groupBy("n", "d", "d2")
-        .agg(F.max("i").alias("bi"), F.max_by("r", "o").alias("br"), F.count(F.lit(1)).alias("c"))
+        .agg(F.max(F.struct(F.coalesce("i", F.lit(-(1 << 63))), F.col("u").isNotNull(), "i", "u")).alias("o"), F.count(F.lit(1)).alias("c"))
         .where("c > 1")
+        .select("n", "d", "d2", F.col("o.i").alias("bi"), F.col("o.u").alias("bu"), F.lit(True).alias("several"))
     )
-    rows = pages.select(page, row, F.col(url_col).cast("string").alias("u"), text.alias("t"), *keys)
-    again = F.col("br").isNotNull() & (F.col("br") != F.col("r"))
-    return rows.join(best, ["n", "d", "d2"], "left").select(
-        F.col("i").alias("page_id"), F.col("u").alias("url"), F.when(~again, F.col("t")).alias("payload"),
-        F.col("n").alias("payload_bytes"), F.col("d").alias("digest"),
-        again.alias("revisit"), F.when(again, F.col("bi")).alias("refers_to"),
+    first = F.col("i").eqNullSafe(F.col("bi")) & F.col("u").eqNullSafe(F.col("bu")) & (F.col("copy") == 1)
+    revisit = F.coalesce("several", F.lit(False)) & ~first
+    return once.join(best, ["n", "d", "d2"], "left").select(
+        F.col("i").alias("page_id"), F.col("u").alias("url"), F.when(~revisit, F.col("t")).alias("payload"),
+        F.col("n").alias("payload_bytes"), F.col("d").alias("digest"), "copy",
+        revisit.alias("revisit"), F.when(revisit, F.col("bi")).alias("refers_to"), F.when(revisit, F.col("bu")).alias("refers_url"),
     )
 
 
-def record(page_id: int | None, url: str | None, payload: bytes | None, n: int, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member; no payload makes it a revisit."""
-    key = f"{page_id}|{digest}|{url}"
+def record_id(page_id: int | None, url: str | None, digest: str, copy: int = 1) -> str:
+    """The id of a record; pages that repeat id, URL and payload differ in ``copy``."""
+    key = json.dumps([page_id, url, digest, copy])
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(key.encode()).hexdigest())}>"
+
+
+def _uri(url: str | None) -> str | None:
+    return None if url is None else "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url)
+
+
+def record(
+    page_id: int | None, url: str | None, payload: bytes | None, n: int, digest: str,
+    refers_to: int | None = None, refers_url: str | None = None, copy: int = 1,
+) -> bytes:
+    """One record as a gzip member; no payload makes it a revisit of the record of ``refers_to`` and ``refers_url``."""
+    revisit = payload is None
     head = {
-        "WARC-Type": "revisit" if payload is None else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(hashlib.md5(key.encode()).hexdigest())}>",
+        "WARC-Type": "revisit" if revisit else "response",
+        "WARC-Record-ID": record_id(page_id, url, digest, copy),
         "WARC-Date": DATE,
-        "WARC-Target-URI": None if url is None else "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url),
+        "WARC-Target-URI": _uri(url),
+        "WARC-Refers-To": record_id(refers_to, refers_url, digest) if revisit else None,
+        "WARC-Refers-To-Target-URI": _uri(refers_url) if revisit else None,
+        "WARC-Refers-To-Date": DATE if revisit else None,
         "WARC-Payload-Digest": f"sha1:{digest}",
-        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if payload is None else None,
+        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
         "X-Page-ID": page_id,
         "X-Payload-Length": n,
         "X-Refers-To-Page": refers_to,
@@ -103,8 +130,8 @@ def write_warc(
     """Archive every row of ``pages`` and return the index (INDEX), a row per record.
 
     A null payload is an empty one, a null URL or id is left out of its record, null ids are
-    smallest. Repeated rows get a record each. Other columns play no part. An empty table gives
-    an empty index.
+    smallest. Repeated rows get a record each, with an id of its own. A very long payload is one
+    record. Other columns play no part. An empty table gives an empty index.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     folder = to or scratch.path("files")
@@ -118,9 +145,9 @@ def write_warc(
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(path, compression=None)
             rows = []
-            for page_id, url, payload, n, digest, revisit, refers_to in batch.itertuples(index=False, name=None):
+            for page_id, url, payload, n, digest, copy, revisit, refers_to, refers_url in batch.itertuples(index=False, name=None):
                 page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
-                data = record(page_id, url, None if revisit else payload.encode(), n, digest, refers_to)
+                data = record(page_id, url, None if revisit else payload.encode(), n, digest, refers_to, refers_url, copy)
                 rows.append((page_id, file, out.tell(), len(data), url, digest, "revisit" if revisit else "response"))
                 out.write(data)
             frame = pd.DataFrame(rows, columns=["page_id", "file", "offset", "length", "url", "digest", "record_type"])
