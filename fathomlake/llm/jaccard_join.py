@@ -377,6 +377,7 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
 
         main = components.of(nearest, "near", "main").select("c", "top", "main")
         members = components.of(measured.select("c", "id", "d", "a", "p").join(main, "c"), "id", "comp").withColumn("other", F.col("comp") != F.col("main"))
+        members = scratch.cut(members.drop("main"), "members")  # read again, so that sums over a group combine before they are shuffled
         others = scratch.cut(members.where("other").groupBy("c").agg(F.max("a").alias("top_other")), "others")
         entries = scratch.cut(_entries(members.join(others, "c"), percent), "entries")
         live = scratch.cut(_live(entries, scratch, "stats"), "live")
@@ -389,7 +390,7 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
 
         rest = components.of(fewer.where(many).select("key", "id", F.col("other").cast("long").alias("w")).distinct(), "id", "comp")
         mixed = scratch.cut(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        done = (active, centres, groups, measured, nearest, others, entries, live, fewer, pairs, mixed)
+        done = (active, centres, groups, measured, nearest, members, others, entries, live, fewer, pairs, mixed)
         active = scratch.cut(rest.drop("comp").join(mixed, "key", "left_semi"), "active")
         scratch.free(*done)
         fan *= 2
