@@ -67,20 +67,25 @@ def mix(
     ``size`` is a document's size, its words by default. A null text has size 0, a null source is
     a source of its own, documents without size are never taken. Null ids come last among their
     like. Rows that repeat id, source and size are interchangeable, so which of them is taken does
-    not matter; reruns agree. An empty table gives an empty one; input columns named like a result
-    are replaced.
+    not matter; reruns agree. Very long texts are counted whole. An empty table gives an empty one;
+    input columns named like a result are replaced (:func:`mixed_rows` returns them as they are).
     """
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    results = ("size", "source_size", "target", "copies", "taken")
+    names = [c for c in docs.columns if c.lower() not in results]
     size = word_count(F.col("text")) if size is None else size
     digits = F.col("__size").cast("string")
-    mark = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("~"))))
+    mark = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("__id").cast("string"), F.lit("~"))))
+    # the columns of docs go along as one, so that no name of theirs can clash
     sized = (
-        docs.select(*names, size.alias("__size"))
-        .withColumn("__src", F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))))
+        docs.select(
+            F.struct(F.lit(0), *(F.col(f"`{c}`") for c in names)).alias("__row"), size.alias("__size"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source")
+        )
+        .withColumn("__src", F.when(F.col("__source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("__source"))))
         # sizes with the same number of digits and the same two leading ones are like sizes
         .withColumn("__class", F.length(digits) * 100 + F.substring(F.rpad(digits, 2, "0"), 1, 2).cast("int"))
         .withColumn("__mark", mark)
         .withColumn("__salt", F.substring("__mark", 1, 2))
+        .drop("__id", "__source")
     )
     bucket = ["__src", "__class", "__salt"]
     counted = Scratch(docs.sparkSession, "mix").cut(
@@ -100,11 +105,21 @@ def mix(
         sized.join(starts, bucket)
         .withColumn("__rank", rank)
         .withColumn("__copies", F.when(F.col("__size") > 0, copies).otherwise(0).cast("long"))
-        .select(*names, F.col("__size").alias("size"), "source_size", "target",
+        .select(*(F.col(f"__row.`{c}`") for c in names), F.col("__size").alias("size"), "source_size", "target",
                 F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
     )
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of each document of :func:`mix`, once per copy."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(*columns)
+    rows = mixed.where("copies > 0").select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "copies")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`mix` takes it, with their columns as they are, whatever their names."""
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"),
+    )
+    return emit(mix(whole, **how), ["row"]).select("row.*")

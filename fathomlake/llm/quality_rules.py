@@ -142,16 +142,20 @@ def quality(
     ``failed``: the names of the broken rules of the table, in its order. ``kept``: neither.
 
     A null text counts as one without words, which fails the base; so does an empty one. Repeated
-    rows and ties are judged row by row, an empty table gives an empty one, and an input column
-    that is named like a result is replaced by it.
+    rows and ties are judged row by row, very long texts whole, and an empty table gives an empty one.
+    An input column that is named like a result is replaced by it; :func:`keep` returns it as it is.
     """
-    results = {*COUNTS, "base_failed", "failed", "kept"}
-    names = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in results]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    counted = docs.select(*names, _counts(text).alias("__counts")).select(
-        *names, *(F.col(f"__counts.{c}").alias(c) for c in COUNTS)
-    )
+    results = {c.lower() for c in (*COUNTS, "base_failed", "failed", "kept")}
+    names = [c for c in (docs.columns if keep_columns is None else keep_columns) if c.lower() not in results]
+    held = docs.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in names)).alias("own"), _counts(F.coalesce(F.col(text_col), F.lit(""))).alias("counts"))
+    counted = held.select("own", *(F.col(f"counts.{c}").alias(c) for c in COUNTS))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     failed = F.filter(F.array(*(F.when(_broken(r), F.lit(r.name)) for r in rules)), lambda r: r.isNotNull()) if rules else F.array().cast("array<string>")
     passed = ~reduce(lambda a, b: a | b, [base, *map(_broken, rules)])
-    return counted.select("*", base.alias("base_failed"), failed.alias("failed"), passed.alias("kept"))
+    return counted.select(*(F.col(f"own.`{c}`") for c in names), *COUNTS, base.alias("base_failed"), failed.alias("failed"), passed.alias("kept"))
+
+
+def keep(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality` keeps, with their columns as they are, whatever their names."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    return quality(whole, rules=rules, keep_columns=["row"]).where("kept").select("row.*")

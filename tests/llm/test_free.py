@@ -210,6 +210,17 @@ def test_warc_round_trip(spark, tmp_path):
             assert len(response) == 1 and response[0].page_id == best and all(r.refers_to == best for r in mine if r.record_type == "revisit")
         else:
             assert all(r.record_type == "response" for r in mine)
+    heads = []
+    for r in index.collect():
+        system, place = warc.file_system(r.file)
+        with system.open_input_file(place) as f:
+            heads.append(warc.parse_record(f.read_at(r.length, r.offset))[0])
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            origin = ids[h["WARC-Refers-To"]]
+            assert origin["WARC-Type"] == "response" and origin["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
     one = warc.read_warc(index.where("page_id = 3")).collect()
     assert [(r.page_id, r.record_type) for r in one] == [(3, "response")]
     files = [f.file for f in index.select("file").distinct().collect()]
@@ -281,6 +292,33 @@ def test_jaccard_components(spark, tmp_path, size, percent, fan):
         assert Counter(held) == Counter({c for _, n, c in want if n}) + Counter(i for i, n, _ in want if not n)
 
 
+@pytest.mark.parametrize("fan", [1, 8])
+def test_links_between_texts_far_from_the_main_component(spark, tmp_path, fan):
+    """Large families with all degrees of change, some of whose members have copies of their own."""
+    rng = random.Random(fan)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+
+    def changed(text: list[str], share: float) -> list[str]:
+        return [word() if rng.random() < share else w for w in text]
+
+    rows = []
+    for _ in range(2):
+        base = [word() for _ in range(150)]
+        for k in range(110):
+            text = changed(base, rng.uniform(0, 0.12))
+            rows.append((len(rows), " ".join(text)))
+            if k % 3 == 0:
+                text = changed(changed(base, 0.06), 0) if k % 2 else text
+                rows += [(len(rows) + j, " ".join(changed(text, rng.choice([0.005, 0.01, 0.03])))) for j in range(rng.randint(1, 4))]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    got = jaccard_join.jaccard_components(spark.read.parquet(path), size=4, percent=85, fan=fan).collect()
+    want = slow_components(rows, 4, 85)
+    assert Counter(map(tuple, got)) == Counter(want)
+    sizes = Counter(c for _, _, c in want)
+    assert sum(1 for n in sizes.values() if 1 < n < 12) > 10  # small components beside the main one
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     enum, rng = jaccard_join.PartEnum(percent), np.random.default_rng(percent)

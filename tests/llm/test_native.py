@@ -256,3 +256,37 @@ def test_chat_query_reads_the_loss_mask(spark):
 def test_digests_are_of_utf8(spark):
     row = exact_groups(spark.createDataFrame([(1, "é")], "doc_id long, text string")).first()
     assert row.text_digest == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_rows_are_known_by_content(spark, tmp_path):
+    """File splits that change between two jobs change nothing."""
+    path = str(tmp_path / "d")
+    rows = [(k, f"text number {k % 500} " * 20, f"c{k}") for k in range(20_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        found = exact_groups(docs)
+        whole = exact_dedup(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert sorted(r.doc_id for r in found.where("kept").collect()) == list(range(19_500, 20_000))
+        assert sorted(whole.collect()) == sorted(rows[19_500:])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_columns_named_like_results_stay(spark, documents_on_disk, empty):
+    from fathomlake.llm.mixing import mixed_rows
+    from fathomlake.llm.quality_rules import keep
+
+    docs = documents_on_disk
+    for name in ("__counts", "__row", "__src", "__class", "__mark", "__salt", "__size", "row", "own", "counts", "times"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    rows = Counter(map(tuple, docs.collect()))
+    for stage in (keep, exact_dedup, mixed_rows):
+        found = stage(docs)
+        assert found.columns == docs.columns and {tuple(r) for r in found.collect()} <= set(rows)
+        assert stage(empty).count() == 0
+    assert exact_dedup(docs).count() == len({r.text or "" for r in docs.select("text").collect()}) and keep(docs).count() >= 3
