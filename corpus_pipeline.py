@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``. Between stages :func:`run` writes and rereads Parquet in the shared
 folder, so that a stage starts from files, whatever becomes of executors.
+
+Null and empty texts fail the rules; very long texts are judged, compared and encoded whole; of rows that
+repeat a text one stays; an empty table gives an empty result; further columns go along as they are, also
+those that are named like a result of an operator.
 """
 
 from __future__ import annotations
@@ -12,15 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from fathomlake.llm.common import Scratch
 from fathomlake.llm.exact_dedup import exact_dedup
 from fathomlake.llm.jaccard_join import near_dedup
-from fathomlake.llm.mixing import emit, mix
+from fathomlake.llm.mixing import mixed_rows
 from fathomlake.llm.packing import pack_documents
-from fathomlake.llm.quality_rules import quality
+from fathomlake.llm.quality_rules import keep
 from fathomlake.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that satisfy the base and the threshold table."""
-    return quality(docs).where("kept").select(*docs.columns)
+    return keep(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document stands as often as the mix takes it."""
-    return emit(mix(docs), docs.columns)
+    return mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
