@@ -222,35 +222,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.nulls(1, pa.int64())], names)
 
 
-def _sets(size: int) -> Callable:
-    """(id, t) -> (id, s): the set of a text as bytes."""
+def _vote(size: int) -> Callable:
+    """The reference of a group from its voters (c, t), at most VOTERS and the centre: e, the elements of two or
+    more of them, and r, how unusual a set is that differs there. Negative r: most hold the element."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                found = [shingles(text, size).tobytes() for text in some.column("t").to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(found, pa.binary())], ["id", "s"])
+    def run(voters: pa.Table) -> pa.Table:
+        found, count = np.unique(np.concatenate([shingles(t, size) for t in voters.column("t").to_pylist()]), return_counts=True)
+        found, count = found[count > 1], count[count > 1]
+        most = 2 * count > voters.num_rows
+        rank = np.where(most, count - voters.num_rows - 1, count).astype(np.int8)
+        return pa.table({"c": voters.column("c")[:1], "e": pa.array([found.tobytes()], pa.binary()), "r": pa.array([rank.tobytes()], pa.binary())})
 
     return run
 
 
-def _elements(data) -> np.ndarray:
-    return np.frombuffer(data.as_buffer(), np.uint64) if isinstance(data, pa.BinaryScalar) else np.frombuffer(data, np.uint64)
-
-
-def _vote(voters: pa.Table) -> pa.Table:
-    """The reference of a group from its voters (c, s), at most VOTERS and the centre: e, the elements of two or
-    more of them, and r, how unusual a set is that differs there. Negative r: most hold the element."""
-    found, count = np.unique(np.concatenate([_elements(s) for s in voters.column("s")]), return_counts=True)
-    found, count = found[count > 1], count[count > 1]
-    most = 2 * count > voters.num_rows
-    rank = np.where(most, count - voters.num_rows - 1, count).astype(np.int8)
-    return pa.table({"c": voters.column("c")[:1], "e": pa.array([found.tobytes()], pa.binary()), "r": pa.array([rank.tobytes()], pa.binary())})
-
-
-def _measure(percent: int) -> Callable:
-    """Rows in order of (c, part, id): first the centre's set s and its reference (e, r), id null, then members with their sets.
+def _measure(size: int, percent: int) -> Callable:
+    """Rows in order of (c, part, id): first the centre's text t and its reference (e, r), id null, then members with theirs.
 
     -> (c, id, linked, d, a, p): whether the centre is linked, d = |D|, a the slack of :func:`_links`, and as many
     elements of D, in order, as any partner can ask for.
@@ -262,14 +249,13 @@ def _measure(percent: int) -> Callable:
         for batch in batches:
             out = {c: [] for c in ("c", "id", "linked", "d", "a", "p")}
             c, ids = batch.column("c").to_pylist(), batch.column("id").to_pylist()
-            sets, e, r = (batch.column(x) for x in ("s", "e", "r"))
+            texts, e, r = (batch.column(x) for x in "ter")
             for k, i in enumerate(ids):
-                own = _elements(sets[k])
+                own = shingles(texts[k].as_py(), size)
                 if i is None:
-                    centre = own.copy()
+                    centre = own
                     if e[k].is_valid:
-                        seen = _elements(e[k]).copy()
-                        rank = np.frombuffer(r[k].as_py(), np.int8).astype(np.int16)
+                        seen, rank = np.frombuffer(e[k].as_py(), np.uint64), np.frombuffer(r[k].as_py(), np.int8).astype(np.int16)
                         common = seen[rank < 0]
                     else:
                         seen, rank, common = centre, np.full(len(centre), -2, np.int16), centre
@@ -297,11 +283,11 @@ def _measure(percent: int) -> Callable:
     return run
 
 
-def _compare(percent: int) -> Callable:
+def _compare(size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = batch.column("sa"), batch.column("sb")
-            kept = [linked(_elements(sa[k]), _elements(sb[k]), percent) for k in range(batch.num_rows)]
+            ta, tb = batch.column("ta"), batch.column("tb")
+            kept = [linked(shingles(ta[k].as_py(), size), shingles(tb[k].as_py(), size), percent) for k in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return run
@@ -361,7 +347,7 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
     buckets = signed.where("n is null").select("key", "id")
     counts = scratch.cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "counts")
     weights = scratch.cut(buckets.join(counts, "key").groupBy("id").agg(F.sum(F.col("m") - 1).alias("w")), "weights")
-    sets = scratch.cut(texts.join(weights.select("id"), "id", "left_semi").select("id", "t").mapInArrow(_sets(size), "id long, s binary"), "sets")
+    texts = scratch.cut(texts.join(weights.select("id"), "id", "left_semi").select("id", "t"), "held")
     active = scratch.cut(buckets.join(weights, "id").select("key", "id", "w"), "active")
     components = _Components(scratch)
     while not active.isEmpty():
@@ -369,7 +355,7 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
         order = F.struct("w", F.xxhash64("id").alias("x"))
         centres = scratch.cut(active.groupBy("key").agg(F.max_by("id", order).alias("c")), "centres")
         groups = scratch.cut(active.join(centres, "key").select("c", "id").distinct(), "groups")
-        measured = _measured(groups, sets, percent, scratch)
+        measured = _measured(groups, texts, size, percent, scratch)
         nearest = scratch.cut(measured.groupBy("c").agg(F.max_by("id", F.struct("a", "id")).alias("near"), F.max("a").alias("top")), "nearest")
         star = measured.where("linked and id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"))
         sure = measured.join(nearest, "c").where("a + top >= 0 and id <> near").select(F.col("near").alias("a"), F.col("id").alias("b"))
@@ -384,8 +370,8 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
         fewer = scratch.cut(_live(live, scratch, "stats"), "fewer")
         many = F.col("others") > fan
         pairs = scratch.cut(_pairs(fewer.where(~many)), "pairs")
-        one, two = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-        found = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_compare(percent), "a long, b long")
+        one, two = (texts.select(F.col("id").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
+        found = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(size, percent), "a long, b long")
         components.add(scratch.cut(found, "links"))
 
         rest = components.of(fewer.where(many).select("key", "id", F.col("other").cast("long").alias("w")).distinct(), "id", "comp")
@@ -397,22 +383,22 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
     return about, components.labels
 
 
-def _measured(groups: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _measured(groups: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """:func:`_measure` of every member of every group (c, id); groups are dealt out in parts."""
     sizes = scratch.cut(groups.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "sizes")
     slot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(VOTERS))
     voters = groups.join(sizes.where("m > 2").select("c"), "c").groupBy("c", slot.alias("slot")).agg(F.min("id").alias("id")).select("c", "id")
     voters = voters.unionByName(sizes.where("m > 2").select("c", F.col("c").alias("id"))).distinct()
-    votes = voters.join(sets, "id").select("c", "s").groupBy("c").applyInArrow(_vote, "c long, e binary, r binary")
+    votes = voters.join(texts, "id").select("c", "t").groupBy("c").applyInArrow(_vote(size), "c long, e binary, r binary")
     votes = scratch.cut(votes, "votes")
     parts = F.ceil(F.col("m") / TOGETHER)
-    centres = sizes.join(sets.withColumnRenamed("id", "c"), "c").join(votes, "c", "left")
-    centres = centres.select("c", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "s", "e", "r")
+    centres = sizes.join(texts.withColumnRenamed("id", "c"), "c").join(votes, "c", "left")
+    centres = centres.select("c", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("id"), "t", "e", "r")
     nothing = F.lit(None).cast("binary")
     members = groups.join(sizes, "c").select("c", F.pmod(F.xxhash64("id", F.lit(2)), parts).alias("part"), "id")
-    members = members.join(sets, "id").select("c", "part", "id", "s", nothing.alias("e"), nothing.alias("r"))
+    members = members.join(texts, "id").select("c", "part", "id", "t", nothing.alias("e"), nothing.alias("r"))
     dealt = centres.unionByName(members).repartition("c", "part").sortWithinPartitions("c", "part", "id")
-    measured = dealt.mapInArrow(_measure(percent), "c long, id long, linked boolean, d long, a long, p array<int>")
+    measured = dealt.mapInArrow(_measure(size, percent), "c long, id long, linked boolean, d long, a long, p array<int>")
     return scratch.cut(measured, "measured")
 
 
