@@ -66,12 +66,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+def _shuffles_deleted(spark: SparkSession):
     """Executions in the block delete their shuffle files when they end; inside they are kept for retries."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    return _held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def filtered_early(spark: SparkSession):
+    """Joins planned in the block may drop rows before the shuffle by Spark's Bloom filter of the other side's keys.
+
+    Spark bounds the filter itself and goes without one beyond that; by default it asks for a scan of 10 GB.
+    """
+    return _held(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+
+
+@contextmanager
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, filtered_early
 
 #: Texts of other components that a bucket may hold to be compared at once; doubled every round.
 FAN = 8
@@ -347,7 +347,8 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
     buckets = signed.where("n is null").select("key", "id")
     counts = scratch.cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "counts")
     weights = scratch.cut(buckets.join(counts, "key").groupBy("id").agg(F.sum(F.col("m") - 1).alias("w")), "weights")
-    texts = scratch.cut(texts.join(weights.select("id"), "id", "left_semi").select("id", "t"), "held")
+    with filtered_early(texts.sparkSession):
+        texts = scratch.cut(texts.join(weights.where("w > 0").select("id"), "id", "left_semi").select("id", "t"), "held")
     active = scratch.cut(buckets.join(weights, "id").select("key", "id", "w"), "active")
     components = _Components(scratch)
     while not active.isEmpty():
@@ -366,17 +367,18 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
         members = scratch.cut(members.drop("main"), "members")  # read again, so that sums over a group combine before they are shuffled
         others = scratch.cut(members.where("other").groupBy("c").agg(F.max("a").alias("top_other")), "others")
         entries = scratch.cut(_entries(members.join(others, "c"), percent), "entries")
-        live = scratch.cut(_live(entries, scratch, "stats"), "live")
-        fewer = scratch.cut(_live(live, scratch, "stats"), "fewer")
+        shared = _mixed(entries, scratch)
+        live = _live(shared, scratch)
+        fewer = _live(live, scratch)
         many = F.col("others") > fan
         pairs = scratch.cut(_pairs(fewer.where(~many)), "pairs")
         one, two = (texts.select(F.col("id").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
         found = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_compare(size, percent), "a long, b long")
         components.add(scratch.cut(found, "links"))
 
-        rest = components.of(fewer.where(many).select("key", "id", F.col("other").cast("long").alias("w")).distinct(), "id", "comp")
+        rest = components.of(fewer.where(many).select("key", "id", (F.col("side") != _MAIN).cast("long").alias("w")).distinct(), "id", "comp")
         mixed = scratch.cut(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        done = (active, centres, groups, measured, nearest, members, others, entries, live, fewer, pairs, mixed)
+        done = (active, centres, groups, measured, nearest, members, others, entries, shared, live, fewer, pairs, mixed)
         active = scratch.cut(rest.drop("comp").join(mixed, "key", "left_semi"), "active")
         scratch.free(*done)
         fan *= 2
@@ -402,11 +404,15 @@ def _measured(groups: DataFrame, texts: DataFrame, size: int, percent: int, scra
     return scratch.cut(measured, "measured")
 
 
+#: Where an entry stands: in the main component, outside among the first for others outside, or only for the main component.
+_MAIN, _NEAR, _FAR = 0, 1, 2
+
+
 def _entries(members: DataFrame, percent: int) -> DataFrame:
-    """key, role, id, comp, other, a, need: a row per element of D that may meet a partner in another component.
+    """key, side, id, comp, a, need: a row per element of D that may meet a partner in another component.
 
-    Texts of the main component look for others (role 0 and 1), others for one another (role 0) or, further
-    down their order, for the main component (role 1). ``need`` is the slack that a partner must have at least.
+    Texts outside the main component meet one another in their first elements (_NEAR), and the main
+    component also in further ones (_FAR). ``need`` is the slack that a partner must have at least.
     """
     q = 100 + percent
 
@@ -420,29 +426,37 @@ def _entries(members: DataFrame, percent: int) -> DataFrame:
     found = found.select(
         "c", "id", "comp", "other", "a", "d", "near", F.posexplode(F.slice("p", F.lit(1), F.col("upto").cast("int"))).alias("k", "element")
     )
-    roles = F.when(~F.col("other"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.when(F.col("k") < F.col("near"), 0).otherwise(1)))
-    found = found.select("*", F.explode(roles).alias("role"))
+    side = F.when(~F.col("other"), _MAIN).when(F.col("k") < F.col("near"), _NEAR).otherwise(_FAR)
     need = -F.col("a") - 2 * q * (F.col("d") - F.col("k"))
-    return found.select(F.xxhash64("c", "role", "element").alias("key"), "role", "id", "comp", "other", "a", need.alias("need"))
+    return found.select(F.xxhash64("c", "element").alias("key"), side.cast("tinyint").alias("side"), "id", "comp", "a", need.alias("need"))
+
 
+def _mixed(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries whose bucket holds several components."""
+    keys = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return scratch.cut(entries.join(scratch.cut(keys, "keys"), "key"), "mixed")
 
-def _live(entries: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Entries with a bucket of several components in which some text has the slack they need; with the
-    number of ``others`` in the bucket."""
+
+def _live(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries with a partner in their bucket that they may meet and that has the slack they need, as far as the
+    most slack of a side tells; with the number of ``others`` in the bucket."""
+    most = lambda side: F.max(F.when(F.col("side") == side, F.col("a")))
     stats = entries.groupBy("key").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("a").alias("most"), F.sum(F.col("other").cast("long")).alias("others"),
-        F.max("role").alias("of"), F.bool_and("other").alias("alone"),
-    ).where("lo <> hi and not (of = 1 and alone)").select("key", "most", "others")
-    return entries.drop("others").join(scratch.cut(stats, name), "key").where("need <= most").drop("most")
+        most(_MAIN).alias("main"), most(_NEAR).alias("near"), most(_FAR).alias("far"), F.sum((F.col("side") != _MAIN).cast("long")).alias("others")
+    )
+    partner = F.when(F.col("side") == _MAIN, F.greatest("near", "far")).when(F.col("side") == _NEAR, F.greatest("main", "near")).otherwise(F.col("main"))
+    found = entries.drop("others").join(scratch.cut(stats, "stats"), "key").where(F.col("need") <= partner)
+    return scratch.cut(found.drop("main", "near", "far"), "live")
 
 
 def _pairs(live: DataFrame) -> DataFrame:
     """(a, b): every text outside the main component with those in its buckets that it may be linked to.
 
     A bucket holds at most ``fan`` such texts, so a row meets at most so many others."""
-    mine = live.where("other")
-    theirs = live.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "comp", "other", "a", "need")))
-    found = mine.join(theirs, "key").where("comp <> comp_ and not (role = 1 and other_) and need <= a_ and need_ <= a")
+    mine = live.where(F.col("side") != _MAIN)
+    theirs = live.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "comp", "side", "a", "need")))
+    meet = (F.col("side_") == _MAIN) | ((F.col("side") == _NEAR) & (F.col("side_") == _NEAR))
+    found = mine.join(theirs, "key").where(meet).where("comp <> comp_ and need <= a_ and need_ <= a")
     return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
 
