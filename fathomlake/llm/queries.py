@@ -12,7 +12,7 @@ from .common import read
 from .exact_dedup import exact_groups
 from .jaccard_join import jaccard_components
 from .license_scan import ALL, scan_licenses
-from .mixing import mix
+from .mixing import mix, word_count
 from .packing import pack_documents
 from .pii import KINDS, find_pii, written_spans
 from .quality_rules import quality
@@ -32,7 +32,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")  # the texts themselves need not travel
+    mixed = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), size=F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
