@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .mixing import MOST, SEED, SHARE, WEIGHTS
-from .pii import DISCLOSED, KINDS, NEAR, PLAIN, SUPPORT
+from .pii import DISCLOSED, KINDS, PLAIN, TERM, UNLIKELY
 from .quality_rules import REPEAT_WINDOW, RULES, STOP_WORDS, SYMBOLS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -117,33 +117,37 @@ def _op9() -> str:
     )
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in KINDS)
     zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)
-    term = r"\p{L}{4,}"
+    def cell(seen: str, a: str, b: str) -> str:
+        return f"CASE WHEN {seen} > 0 THEN ({seen}) * ln(({seen})::DOUBLE * n / (({a})::DOUBLE * ({b}))) ELSE 0 END"
+
+    g2 = " + ".join((
+        cell("n_ct", "n_c", "n_t"), cell("n_c - n_ct", "n_c", "n - n_t"),
+        cell("n_t - n_ct", "n - n_c", "n_t"), cell("n - n_c - n_t + n_ct", "n - n_c", "n - n_t"),
+    ))
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 based AS MATERIALIZED ({based}),
-sides AS (
-  SELECT rid, t, c, greatest(st - {NEAR}, 0) AS lo, substr(t, greatest(st - {NEAR}, 0) + 1, st - greatest(st - {NEAR}, 0)) AS side, true AS before
-  FROM based JOIN docs USING (rid)
-  UNION ALL SELECT rid, t, c, en, substr(t, en + 1, {NEAR}), false FROM based JOIN docs USING (rid)
-), worded AS (
-  SELECT rid, t, c, lo, before, said[k] AS w, {places("said", "parts")} AS pos FROM (
-    SELECT *, regexp_extract_all(side, '{term}') AS said, string_split_regex(side, '{term}') AS parts FROM sides),
-  unnest(range(1, len(said) + 1)) AS u(k)
-), near AS (
-  SELECT DISTINCT rid, t, c, lower(w) AS term, lo + pos AS st, lo + pos + length(w) AS en FROM worded w
-  WHERE (CASE WHEN before THEN pos > 0 OR lo = 0 ELSE pos + length(w) < {NEAR} END)
-    AND NOT EXISTS (SELECT 1 FROM based b WHERE b.rid = w.rid AND b.st < lo + pos + length(w) AND lo + pos < b.en)
-), pairs AS (
-  SELECT c, term, count(DISTINCT rid) AS n_ct FROM near GROUP BY c, term HAVING count(DISTINCT t) >= {SUPPORT}
-), n_c AS (SELECT c, count(DISTINCT rid) AS n_c FROM based GROUP BY c),
+worded AS (
+  SELECT rid, lower(said[k]) AS term, length(said[k]) AS size, CAST(sum(length(parts[k]) + coalesce(length(said[k - 1]), 0))
+    OVER (PARTITION BY rid ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS st
+  FROM (SELECT rid, regexp_extract_all(t, '{TERM}') AS said, string_split_regex(t, '{TERM}') AS parts
+    FROM docs WHERE rid IN (SELECT rid FROM based)), unnest(range(1, len(said) + 1)) AS u(k)
+), free AS MATERIALIZED (
+  SELECT rid, term, st, st + size AS en FROM worded w
+  WHERE NOT EXISTS (SELECT 1 FROM based b WHERE b.rid = w.rid AND b.st < w.st + size AND w.st < b.en)
+), held AS (SELECT DISTINCT rid, c FROM based),
+pairs AS (
+  SELECT c, term, count(*) AS n_ct FROM held JOIN (SELECT DISTINCT rid, term FROM free) USING (rid) GROUP BY c, term
+), n_c AS (SELECT c, count(*) AS n_c FROM held GROUP BY c),
 n_t AS (
-  SELECT term, count(DISTINCT rid) AS n_t FROM (SELECT rid, unnest(regexp_extract_all(lower(t), '{term}')) AS term FROM docs) GROUP BY term
+  SELECT term, count(DISTINCT rid) AS n_t FROM (SELECT rid, lower(unnest(regexp_extract_all(t, '{TERM}'))) AS term FROM docs) GROUP BY term
 ), flagged AS (
   SELECT c, term FROM pairs JOIN n_c USING (c) JOIN n_t USING (term), (SELECT count(*) AS n FROM docs)
   WHERE log2(n) - log2(n_c) > 0 AND log2(n_ct) + log2(n) - log2(n_c) - log2(n_t) >= {DISCLOSED} * (log2(n) - log2(n_c))
+    AND 2 * ({g2}) >= {UNLIKELY}
 ), spans AS (
   SELECT rid, kind, place, st, en FROM based
-  UNION ALL SELECT DISTINCT rid, 'term', {len(KINDS)}, st, en FROM near JOIN flagged USING (c, term)
+  UNION ALL SELECT DISTINCT rid, 'term', {len(KINDS)}, st, en FROM held JOIN free USING (rid) JOIN flagged USING (c, term)
 ), written AS (
   SELECT rid, {counts}, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY place, st, en) AS spans,
     string_agg(kind || ':' || st || ':' || en, ',' ORDER BY place, st, en) FILTER (WHERE kind <> 'term') AS base

@@ -7,16 +7,16 @@ gives about it is estimated as
 
     PMI(c; t) = log2(n(c, t) * N / (n(c) * n(t))),
 
-in documents; it discloses c if that is at least DISCLOSED of c's own information, log2(N / n(c)),
-and if it stands near c in SUPPORT different texts or more. Disclosing terms become spans of kind
-"term" wherever they stand near their entity, and are generalised to what kind of word they are.
+in documents (copies included); it discloses c if that is at least DISCLOSED of c's own information,
+log2(N / n(c)), and if the table of the two in documents is unlikely by chance, by the likelihood
+ratio of Dunning (1993), which holds for small counts: G2(c, t) >= UNLIKELY. A term is any word, of
+any length, of a text that holds c, however few such texts there are. Each occurrence of a disclosing
+term in a document that holds its entity becomes a span of kind "term", and is generalised to what
+kind of word it is.
 
-With SUPPORT most personal data, which one or two texts hold, never gets a term, and what stands
-far from its entity or is short is no term. With ``whole=True`` no number of texts, distance or
-length is asked for: t is any word of a document that holds c, a pair counts if, besides, its table
-of documents (copies included) is unlikely by chance, by the likelihood ratio of Dunning (1993),
-which holds for small counts: G2(c, t) >= UNLIKELY; and each occurrence of t in a document that
-holds c becomes a span.
+Entities that the same texts hold have the same counts with every term. They are counted as one
+class, known by the texts' number and two hashes of their keys, so that a text of a thousand
+addresses has one set of pairs and not a thousand.
 
 Everything is DataFrame expressions. Patterns are written so that Java's matcher needs no
 backtracking and no recursion, with the same matches as the plain forms in PLAIN.
@@ -24,12 +24,12 @@ backtracking and no recursion, with the same matches as the plain forms in PLAIN
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, once
+from .common import Scratch, filtered_early, once
 
 KINDS = ("email", "ip", "card", "phone")
 #: The definitions, as any regular expression library reads them.
@@ -52,13 +52,8 @@ _IP = rf"^{_BYTE}\.{_BYTE}\.{_BYTE}\.{_BYTE}$"
 #: Only texts that hold this can hold the kind.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-#: A term: a run of letters, this long at least.
-TERM = r"\p{L}{4,}"
-#: A term of whole texts: letters with their marks, of any length.
-WORD_TERM = r"[\p{L}\p{M}]+"
-#: Code points before and after an entity in which its terms stand.
-NEAR = 80
-SUPPORT = 3
+#: A term: letters with their marks, of any length.
+TERM = r"[\p{L}\p{M}]+"
 DISCLOSED = 0.8
 #: G2 of a probability of 0.001 by chance (chi squared, one degree of freedom).
 UNLIKELY = 10.83
@@ -66,16 +61,15 @@ UNLIKELY = 10.83
 _SPAN = "struct<start:int,end:int,said:string>"
 
 
-def _prefix_sums(steps: Column) -> Column:
-    """Inclusive sums of a non-empty array, in blocks of about the root of its length."""
-    add = lambda a, b: a + b
-    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+def _prefixes(steps: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive sums (or whatever ``op`` makes of numbers from 0) of a non-empty array, in blocks of about the root of its length."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), op)
 
     def blocks(s: Column, n: Column) -> Column:
         sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / n).cast("int")), lambda k: total(F.slice(s, k * n + 1, n)))
         bases = lambda sums: F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k)))
         return once(once(sums, bases), lambda base: F.transform(
-            s, lambda _, k: F.element_at(base, (F.floor(k / n) + 1).cast("int")) + total(F.slice(s, (k - k % n) + 1, k % n + 1))
+            s, lambda _, k: op(F.element_at(base, (F.floor(k / n) + 1).cast("int")), total(F.slice(s, (k - k % n) + 1, k % n + 1)))
         ))
 
     return once(steps, lambda s: once(F.ceil(F.sqrt(F.size(s).cast("double"))).cast("int"), lambda n: blocks(s, n)))
@@ -88,7 +82,7 @@ def find(text: Column, pattern: str, needs: str | None = None) -> Column:
     def of(said: Column) -> Column:
         def place(between: Column) -> Column:
             steps = F.transform(said, lambda m, k: F.length(between[k]) + F.when(k > 0, F.length(said[k - 1])).otherwise(0))
-            return once(_prefix_sums(steps), lambda starts: F.transform(
+            return once(_prefixes(steps, lambda a, b: a + b), lambda starts: F.transform(
                 said, lambda m, k: F.struct(starts[k].alias("start"), (starts[k] + F.length(m)).alias("end"), m.alias("said"))
             ))
 
@@ -148,27 +142,33 @@ def _as_entities(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _entity(kind, x["said"]).alias("said")))
 
 
-def _near(text: Column, found: Column, entity: Column) -> Column:
-    """The terms near one entity span, none of them in a base span: (start, end, said)."""
-    start, end = entity["start"], entity["end"]
-    left_at = F.greatest(start - NEAR, F.lit(0))
-    left, right = F.substring(text, left_at + 1, start - left_at), F.substring(text, end + 1, F.lit(NEAR))
-    # a word that the window cuts is left out
-    before = F.filter(find(left, TERM), lambda x: (x["start"] > 0) | (left_at == 0))
-    after = F.filter(find(right, TERM), lambda x: (x["end"] < NEAR))
-    moved = lambda xs, by: F.transform(xs, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), F.lower(x["said"]).alias("said")))
-    return F.filter(
-        F.concat(moved(before, left_at), moved(after, end)),
-        lambda x: ~F.exists(found, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+def _clear(words: Column, spans: Column) -> Column:
+    """The words, in order and apart from each other, that no span overlaps: one merge of both by place.
+
+    A span that starts before a word ends overlaps it if it ends after the word starts, so the
+    furthest end of the spans before the word's end decides.
+    """
+    of_span = lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("kind"), b["end"].alias("reach"), F.lit(0).alias("start"), F.lit("").alias("said"))
+    of_word = lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("kind"), F.lit(0).alias("reach"), x["start"].alias("start"), x["said"].alias("said"))
+
+    def merged(events: Column) -> Column:
+        furthest = _prefixes(F.transform(events, lambda e: e["reach"]), lambda a, b: F.greatest(a, b))
+        seen = F.zip_with(events, furthest, lambda e, far: F.struct(e.alias("e"), far.alias("far")))
+        free = F.filter(seen, lambda y: (y["e"]["kind"] == 0) & (y["far"] <= y["e"]["start"]))
+        return F.transform(free, lambda y: F.struct(y["e"]["start"].alias("start"), y["e"]["at"].alias("end"), y["e"]["said"].alias("said")))
+
+    return F.when(F.size(words) > 0, once(F.sort_array(F.concat(F.transform(words, of_word), F.transform(spans, of_span))), merged)).otherwise(
+        F.array().cast(f"array<{_SPAN}>")
     )
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, whole: bool = False) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row of ``docs``: ``id_col``, email, ip, card, phone, term (arrays of start, end, said), and text if asked for.
 
     A null text counts as empty. Repeated rows get the same spans each, whatever their ids; null
-    ids stay. Other columns play no part. An empty table gives an empty one. With ``whole``
-    terms of any length, anywhere in a text, of entities of any number of texts are found.
+    ids stay. Other columns play no part. An empty table gives an empty one. A very long text is
+    read whole; work on it grows with its length to the power 1.5 at most, and with its words
+    times the classes of its entities.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -181,7 +181,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     texts = based.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("t").alias("t"), F.first("b").alias("b"))
     entities = F.concat(*(_as_entities(k, F.col("b")[k]) for k in KINDS))
     texts = texts.withColumn("f", entities)
-    spans = _terms_of_texts(docs, text, texts, scratch) if whole else _terms_near(docs, text, texts, scratch)
+    spans = _terms(docs, text, texts, scratch)
     # documents without an entity have no key to join by
     none = based.where("key is null").withColumn("term", F.lit(None).cast(f"array<{_SPAN}>"))
     out = based.where("key is not null").join(spans, "key", "left").unionByName(none)
@@ -191,54 +191,42 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     )
 
 
-def _terms_near(docs: DataFrame, text: Column, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, term): the disclosing terms near their entities, those of SUPPORT texts."""
-    mentions = texts.select("key", "n", "t", "f", F.explode("f").alias("e"))
-    near = scratch.cut(
-        mentions.select("key", "n", F.col("e.said").alias("c"), F.explode_outer(_near(F.col("t"), F.col("f"), F.col("e"))).alias("x"))
-        .select("key", "n", "c", F.col("x.said").alias("term"), F.col("x.start").alias("start"), F.col("x.end").alias("end")),
-        "near",
-    )
-    pairs = near.where("term is not null").groupBy("c", "term", "key").agg(F.max("n").alias("n")).groupBy("c", "term").agg(
-        F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("texts")
-    ).where(F.col("texts") >= SUPPORT)
-    pairs = scratch.cut(pairs, "pairs")
-    n_c = near.groupBy("c", "key").agg(F.max("n").alias("n")).groupBy("c").agg(F.sum("n").alias("n_c"))
-    held = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    flagged = scratch.cut(_disclosing(docs, held, pairs, n_c).select("c", "term"), "flagged")
-    return (
-        near.join(flagged, ["c", "term"]).groupBy("key")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("said")))).alias("term"))
-    )
-
-
-def _terms_of_texts(docs: DataFrame, text: Column, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, term): every occurrence of the disclosing terms in texts that hold their entity."""
-    clear = lambda x: ~F.exists("f", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    words = F.filter(F.transform(find(F.col("t"), WORD_TERM), lambda x: x.withField("said", F.lower(x["said"]))), clear)
-    texts = scratch.cut(texts.select("key", "n", F.array_distinct(F.transform("f", lambda x: x["said"])).alias("cs"), words.alias("x")), "texts")
-    terms = F.array_distinct(F.transform("x", lambda x: x["said"]))
-    # a text has each pair once, and counts combine before they are shuffled
-    pairs = texts.select("n", terms.alias("terms"), F.explode("cs").alias("c")).select("n", "c", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("c", "term").agg(F.sum("n").alias("n_ct"))
+def _terms(docs: DataFrame, text: Column, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, term): every occurrence of the disclosing terms in texts (key, n, t, f) that hold their entity."""
+    words = F.transform(find(F.col("t"), TERM), lambda x: x.withField("said", F.lower(x["said"])))
+    entities = F.array_distinct(F.transform("f", lambda x: x["said"]))
+    texts = scratch.cut(texts.select("key", "n", entities.alias("cs"), _clear(words, F.col("f")).alias("x")), "texts")
     mentions = texts.select("key", "n", F.explode("cs").alias("c"))
-    n_c = mentions.groupBy("c").agg(F.sum("n").alias("n_c"))
-    held = F.transform(F.regexp_extract_all(text, F.lit(WORD_TERM), F.lit(0)), F.lower)
-    flagged = _disclosing(docs, held, pairs, n_c).where(_g2() >= UNLIKELY).groupBy("c").agg(F.collect_list("term").alias("terms"))
-    mine = mentions.join(scratch.cut(flagged, "flagged"), "c").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    return texts.join(mine, "key").select("key", F.filter("x", lambda x: F.array_contains("terms", x["said"])).alias("term"))
-
+    # written, so that a join with it may split an entity that many texts hold
+    alike = scratch.cut(mentions.groupBy("c").agg(
+        F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("m"),
+        F.bit_xor(F.xxhash64("key")).alias("h"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("h2"),
+    ).select("c", F.struct("n_c", "m", "h", "h2").alias("class")), "alike")
+    of_text = mentions.select("key", "c").join(alike, "c").groupBy("key").agg(F.collect_set("class").alias("classes"))
+    texts = scratch.cut(texts.drop("cs").join(of_text, "key"), "classed")
 
-def _disclosing(docs: DataFrame, held: Column, pairs: DataFrame, n_c: DataFrame) -> DataFrame:
-    """``pairs`` (c, term, n_ct) at or over the threshold, with n_c, n_t and n_all; ``held`` are a document's terms."""
-    # documents that hold each term, over the whole corpus; counted before the pairs are looked up
-    n_t = docs.select(F.explode(F.array_distinct(held)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    terms = F.array_distinct(F.transform("x", lambda x: x["said"]))
+    pairs = texts.select("key", "n", terms.alias("terms"), F.explode("classes").alias("class")).select("key", "n", "class", F.explode("terms").alias("term"))
+    counts = scratch.cut(pairs.groupBy("class", "term").agg(F.sum("n").alias("n_ct")), "pairs")
+    flagged = scratch.cut(_disclosing(docs, text, counts, scratch), "flagged")
+    with filtered_early(docs.sparkSession):
+        mine = scratch.cut(pairs.select("key", "class", "term").join(flagged, ["class", "term"]).select("key", "term").distinct(), "mine")
+        held = texts.select("key", F.explode("x").alias("x")).select("key", F.col("x.said").alias("term"), "x")
+        found = held.join(mine, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("term"))
+        return scratch.cut(found, "terms")
+
+
+def _disclosing(docs: DataFrame, text: Column, counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class, term) of ``counts`` (class, term, n_ct) at or over both thresholds."""
+    held = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    # documents that hold each term, over the whole corpus
+    n_t = scratch.cut(docs.select(F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "n_t")
     log = lambda x: F.log2(x.cast("double"))
     total = docs.select(F.count(F.lit(1)).alias("n_all"))
-    joined = pairs.join(n_c, "c").join(n_t, "term").join(F.broadcast(total))  # one row
+    joined = counts.withColumn("n_c", F.col("class.n_c")).join(n_t, "term").join(F.broadcast(total))  # one row
     pmi = log(F.col("n_ct")) + log(F.col("n_all")) - log(F.col("n_c")) - log(F.col("n_t"))
     own = log(F.col("n_all")) - log(F.col("n_c"))
-    return joined.where((own > 0) & (pmi >= DISCLOSED * own))
+    return joined.where((own > 0) & (pmi >= DISCLOSED * own) & (_g2() >= UNLIKELY)).select("class", "term")
 
 
 def _g2() -> Column:
@@ -251,12 +239,6 @@ def _g2() -> Column:
     )
 
 
-def pmi_discloses(n_ct: int, n_c: int, n_t: int, n_all: int) -> bool:
-    """The rule of :func:`find_pii` on counts."""
-    own = math.log2(n_all) - math.log2(n_c)
-    return own > 0 and math.log2(n_ct) + math.log2(n_all) - math.log2(n_c) - math.log2(n_t) >= DISCLOSED * own
-
-
 def written_spans(kinds: tuple[str, ...] = (*KINDS, "term")) -> Column:
     """kind:start:end of all spans, by kind and start, joined by commas."""
     return F.array_join(F.concat(*(_written(k, F.col(k)) for k in kinds)), ",")
@@ -267,7 +249,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A disclosing term becomes [NAME] if capitalised, else [WORD]. Where spans overlap the first stands.
     """
-    found = find_pii(docs, id_col, text_col, with_text=True, whole=True)
+    found = find_pii(docs, id_col, text_col, with_text=True)
     def of_kind(k: str) -> Column:
         return F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind")))
 

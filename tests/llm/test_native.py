@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -152,7 +154,7 @@ def test_pii_base_spans_of_random_texts(spark):
 
 
 def test_pii_terms(spark, tmp_path):
-    """Terms near entities, by counts in plain Python."""
+    """Terms of entities, by counts in plain Python and by SQL."""
     rng = random.Random(2)
     names = [f"{c}{c}arlo".replace("0", "") for c in "bdfgklmnprstvz"]
     mails = [f"user{k}@mail.example" for k in range(6)]
@@ -170,35 +172,31 @@ def test_pii_terms(spark, tmp_path):
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
     docs = spark.read.parquet(path)
-    term = re.compile(r"[^\W\d_]{4,}")
-    near, n_c, n_ct, texts, n_t = {}, Counter(), Counter(), defaultdict(set), Counter()
+    term = re.compile(r"[^\W\d_]+")
+    held, n_c, n_ct, n_t = {}, Counter(), Counter(), Counter()
     for _, text in rows:
         text = text or ""
         n_t.update({t.lower() for t in term.findall(text)})
-        spans = base(text)
-        found = [(s, e, f"{k}:{text[s:e].lower()}") for k in pii.KINDS for s, e in spans[k]]
-        mine = set()
-        for s, e, c in found:
-            lo = max(0, s - pii.NEAR)
-            for m in term.finditer(text[lo:s]):
-                if m.start() > 0 or lo == 0:
-                    mine.add((c, m[0].lower(), lo + m.start(), lo + m.end()))
-            for m in term.finditer(text[e : e + pii.NEAR]):
-                if m.end() < pii.NEAR:
-                    mine.add((c, m[0].lower(), e + m.start(), e + m.end()))
-        mine = {x for x in mine if not any(s < x[3] and x[2] < e for s, e, _ in found)}
-        near[text] = mine
-        n_c.update({c for _, _, c in found})
-        for pair in {(c, t) for c, t, _, _ in mine}:
-            n_ct[pair] += 1
-            texts[pair].add(text)
-    flagged = {p for p in n_ct if len(texts[p]) >= pii.SUPPORT and pii.pmi_discloses(n_ct[p], n_c[p[0]], n_t[p[1]], len(rows))}
+        found = [(s, e, f"{k}:{text[s:e].lower()}") for k, spans in base(text).items() for s, e in spans]
+        words = [(m.start(), m.end(), m[0].lower()) for m in term.finditer(text)]
+        words = [w for w in words if not any(s < w[1] and w[0] < e for s, e, _ in found)]
+        held[text] = ({c for _, _, c in found}, words)
+        n_c.update(held[text][0])
+        n_ct.update({(c, t) for c in held[text][0] for _, _, t in words})
+
+    def discloses(pair):
+        a, c, t, n = n_ct[pair], n_c[pair[0]], n_t[pair[1]], len(rows)
+        table = [(a, c, t), (c - a, c, n - t), (t - a, n - c, t), (n - c - t + a, n - c, n - t)]
+        g2 = 2 * sum(x * math.log(x * n / (r * k)) for x, r, k in table if x)
+        return n > c and math.log2(a * n / (c * t)) >= pii.DISCLOSED * math.log2(n / c) and g2 >= pii.UNLIKELY
+
+    flagged = {p for p in n_ct if discloses(p)}
     assert flagged
     got = pii.find_pii(docs, with_text=True).collect()
     assert len(got) == len(rows)
     for row in got:
-        want = sorted({(s, e) for c, t, s, e in near[row.text] if (c, t) in flagged})
-        assert [(x.start, x.end) for x in row.term] == want
+        mine, words = held[row.text]
+        assert [(x.start, x.end, x.said) for x in row.term] == [w for w in words if any((c, w[2]) in flagged for c in mine)]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     sql = con.execute(ORACLES["op9_pii"]).fetchall()
@@ -215,10 +213,9 @@ def test_pii_terms_of_few_texts(spark):
     rows += [(300, "common Quillfeather one@mail.example words"), (301, "common words Brackenridge two@mail.example")]
     rows += [(k, "everywhere Thistlewood three@mail.example common") for k in range(302, 340)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    terms = lambda **how: {r.doc_id: [x.said for x in r.term] for r in pii.find_pii(docs, **how).collect() if r.term}
-    assert not terms()
+    terms = {r.doc_id: [x.said for x in r.term] for r in pii.find_pii(docs).collect() if r.term}
     want = {300: ["quillfeather"], 301: ["brackenridge"]} | {k: ["thistlewood"] for k in range(302, 340)}
-    assert terms(whole=True) == want
+    assert terms == want
 
 
 def test_pii_terms_of_whole_texts(spark):
@@ -227,13 +224,43 @@ def test_pii_terms_of_whole_texts(spark):
     rows = [(k, filler) for k in range(600)]
     rows += [(600, f"Quillfeather {filler}one@mail.example {filler}Bo, Quillfeather"), (601, f"{filler}李 two@mail.example"), (602, f"Bo {filler}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.text, r.term) for r in pii.find_pii(docs, with_text=True, whole=True).collect()}
+    got = {r.doc_id: (r.text, r.term) for r in pii.find_pii(docs, with_text=True).collect()}
     assert {i: [x.said for x in terms] for i, (_, terms) in got.items() if terms} == {600: ["quillfeather", "bo", "quillfeather"], 601: ["李"]}
     assert all(text[x.start : x.end].lower() == x.said for text, terms in got.values() for x in terms)
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "Quillfeather" not in clean[600] and clean[600].endswith("[NAME], [NAME]") and clean[0] == filler
 
 
+def test_pii_of_many_entities_in_one_text(spark):
+    """Addresses of one text are one class; words and spans are merged, not compared with each other."""
+    mails = " ".join(f"to u{k}@mail.example" for k in range(20_000))
+    rows = [(k, "to common words everywhere") for k in range(600)] + [(600, f"{mails} Quillfeather"), (601, "to u7@mail.example Brackenridge")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (len(r.email), [x.said for x in r.term]) for r in pii.find_pii(docs).collect()}
+    assert time.time() - began < 120
+    assert got[600] == (20_000, ["quillfeather"]) and got[601] == (1, ["brackenridge"]) and got[0] == (0, [])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pii_words_clear_of_spans(spark, seed):
+    rng = random.Random(seed)
+    cases = []
+    for k in range(200):
+        words, at = [], 0
+        for _ in range(rng.randint(0, 12)):
+            at += rng.randint(1, 4)
+            words.append((at, at + rng.randint(1, 5), "w"))
+            at = words[-1][1]
+        starts = [rng.randint(0, 50) for _ in range(rng.randint(0, 5))]
+        cases.append((k, words, [(s, s + rng.randint(1, 15), "s") for s in starts]))
+    span = "array<struct<start:int,end:int,said:string>>"
+    rows = spark.createDataFrame(cases, f"k int, w {span}, s {span}").select("k", pii._clear(F.col("w"), F.col("s")).alias("free")).collect()
+    for row in rows:
+        _, words, spans = cases[row.k]
+        assert [tuple(x) for x in row.free] == [w for w in words if not any(s < w[1] and w[0] < e for s, e, _ in spans)]
+
+
 def test_pii_of_odd_rows(spark, documents_on_disk, empty):
     assert pii.find_pii(documents_on_disk).count() == documents_on_disk.count()
     assert pii.find_pii(empty).count() == 0
