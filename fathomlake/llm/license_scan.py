@@ -11,14 +11,18 @@ holds no shingle of any template is passed over first.
 Templates of fewer than five words are taken on request (``short``): each is one shingle of all its
 words, and found wherever these stand in a row.
 
-The templates are few and given (their number is checked), and each document is scanned by itself,
-block by block: no shuffle, memory bounded by a block.
+The values of all bands of a class are one sorted array: a window is looked up in it band by band, behind
+a sieve of the values' low bits, so the work for a window does not grow with the number of templates.
+
+Templates are given, and each document is scanned by itself, block by block: no shuffle, memory
+bounded by a block and TOGETHER templates. More templates are scanned for in further passes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,8 @@ from .jaccard_join import shingle_sequence
 
 SIZE, PERCENT, BANDS = 5, 80, 64
 BLOCK = 1 << 15
-MAX_TEMPLATES = 2000
+#: Templates that one pass over the documents carries to its tasks.
+TOGETHER = 2000
 
 #: Public licence notices. Any other table of (id, text) can be scanned for.
 TEMPLATES = (
@@ -100,6 +105,7 @@ _word = re.compile(r"\w+").findall
 _rng = np.random.RandomState(20240101)
 _A = (_rng.randint(0, 1 << 31, BANDS).astype(np.uint32) * np.uint32(2) + np.uint32(1))[None, :]
 _B = _rng.randint(0, 1 << 31, BANDS).astype(np.uint32)[None, :]
+_BAND = np.arange(BANDS, dtype=np.uint64)
 
 
 def sequence(text: str, size: int) -> np.ndarray:
@@ -114,10 +120,32 @@ def _hashed(shingles: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
 
 
+class _Bands:
+    """The index of a class: which templates have a value of a band. ``least`` is a row of BANDS minima per template."""
+
+    def __init__(self, least: np.ndarray):
+        values = (_BAND << np.uint64(32) | least).ravel()
+        order = np.argsort(values, kind="stable")
+        self._values, self._templates = values[order], order // BANDS
+        self._low = np.uint32((1 << max(12, len(least).bit_length() + 6)) - 1)
+        self._sieve = np.zeros((BANDS, int(self._low) + 1), bool)
+        self._sieve[_BAND.astype(np.intp), least & self._low] = True
+
+    def collisions(self, windows: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(template, window) of each pair that shares a value in a band or more, in order."""
+        window, band = np.nonzero(self._sieve[_BAND.astype(np.intp), windows & self._low])
+        if not len(window):
+            return iter(())
+        asked = band.astype(np.uint64) << np.uint64(32) | windows[window, band]
+        first, end = (np.searchsorted(self._values, asked, side) for side in ("left", "right"))
+        n = end - first
+        place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        pairs = np.unique(np.stack([self._templates[place], np.repeat(window, n)]), axis=1)
+        return zip(*pairs.tolist(), strict=True)
+
+
 class Scanner:
     def __init__(self, templates: Sequence[tuple[str, str]], size: int = SIZE, percent: int = PERCENT, short: bool = False):
-        if len(templates) > MAX_TEMPLATES:
-            raise ValueError(f"{len(templates)} templates; at most {MAX_TEMPLATES} are sent to the tasks")
         self.size, self.percent, self.classes, self.short = size, percent, {}, []
         for name, text in templates:
             found = np.unique(sequence(text, size))
@@ -128,7 +156,8 @@ class Scanner:
             if not len(found):
                 raise ValueError(f"template {name!r} has fewer than {size} words")
             c = 1 << (len(found) - 1).bit_length()
-            self.classes.setdefault(c, []).append((name, found, _hashed(found).min(axis=0)))
+            self.classes.setdefault(c, []).append((name, found))
+        self.bands = {c: _Bands(np.stack([_hashed(t[1]).min(axis=0) for t in ts])) for c, ts in self.classes.items()}
         self.known = np.unique(np.concatenate([t[1] for ts in self.classes.values() for t in ts] or [np.zeros(0, np.uint64)]))
 
     def _short(self, text: str) -> list[tuple]:
@@ -190,14 +219,13 @@ class Scanner:
                 chunks = np.minimum.reduceat(hashed, np.arange(0, len(part), c), axis=0)
                 windows = chunks.copy()
                 np.minimum(windows[:-1], chunks[1:], out=windows[:-1])
-                for name, wanted, least in templates:
-                    for k in np.flatnonzero((windows == least).any(axis=1)):
-                        held = part[k * c : (k + 2) * c]
-                        isin = np.isin(held, wanted)
-                        if 100 * len(np.unique(held[isin])) >= self.percent * len(wanted):
-                            where = np.flatnonzero(isin)
-                            places = (where + (at + int(k) * c)).tolist()
-                            hits.setdefault((name, len(wanted), 2 * c), {}).update(zip(places, held[where].tolist(), strict=True))
+                for t, k in self.bands[c].collisions(windows):
+                    name, wanted = templates[t]
+                    held = part[k * c : (k + 2) * c]
+                    isin = np.isin(held, wanted)
+                    if 100 * len(np.unique(held[isin])) >= self.percent * len(wanted):
+                        where = np.flatnonzero(isin)
+                        hits.setdefault((name, len(wanted), 2 * c), {}).update(zip((where + (at + k * c)).tolist(), held[where].tolist(), strict=True))
         found = [x for (name, n, reach), where in hits.items() for x in self._places(where, name, n, reach)]
         return sorted([*found, *self._short(text)])
 
@@ -210,9 +238,13 @@ def scan_licenses(
 
     ``matched`` of the template's ``shingles`` stand there; start_word and end_word (exclusive) bound
     them in the document. Places of one template do not overlap. Null and empty texts hold
-    none; repeated rows and null ids give rows of their own; other columns play no part; an empty
-    table gives an empty one. Templates of fewer than ``size`` words are refused unless ``short``.
+    none; very long texts are scanned whole, in blocks; repeated rows and null ids give rows of their
+    own; other columns play no part; an empty table gives an empty one. Templates of fewer than ``size``
+    words are refused unless ``short``; without words they are refused.
     """
+    if len(templates) > TOGETHER:  # what a template's matches are does not depend on other templates
+        parts = (scan_licenses(docs, templates[k : k + TOGETHER], id_col, text_col, size, percent, short) for k in range(0, len(templates), TOGETHER))
+        return reduce(DataFrame.unionByName, parts)
     Scanner(templates, size, percent, short)  # refuses bad templates here rather than in a task
     names = [id_col, *(x.split()[0] for x in SCHEMA.split(", "))]
 

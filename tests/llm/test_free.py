@@ -340,6 +340,50 @@ def test_jaccard_of_odd_rows(documents_on_disk):
     assert {(1, 1), (2, 1), (None, 1), (3, 3), (4, 4), (6, 6), (8, 8), (-9, -9)} <= got
 
 
+def five_word_runs(text: str) -> list[tuple]:
+    words = re.findall(r"\w+", text.lower())
+    return [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+
+
+def held_by_windows(text: str, templates) -> dict[str, int]:
+    """The most shingles of each template in a window of twice its length, rounded up to a power of 2, that begins every such length."""
+    runs, want = five_word_runs(text), {}
+    for name, template in templates:
+        wanted, c = set(five_word_runs(template)), 1
+        while c < len(wanted):
+            c *= 2
+        most = max((len(wanted.intersection(runs[k : k + 2 * c])) for k in range(0, len(runs), c)), default=0)
+        if most >= 0.8 * len(wanted):
+            want[name] = most
+    return want
+
+
+def test_bands_find_what_windows_hold():
+    """Recall of the bands against all windows and templates, with edits down to the threshold and 300 templates."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    templates = [(f"t{k}", " ".join(rng.choices(words, k=rng.choice([6, 12, 25, 60, 150])))) for k in range(300)]
+    scanner, wanted, found = license_scan.Scanner(templates), 0, 0
+    for _ in range(400):
+        text = rng.choice(templates)[1].split()
+        for _ in range(rng.randint(0, max(1, len(text) // 25))):
+            text[rng.randrange(len(text))] = "edited"
+        text = " ".join([*rng.choices(words, k=rng.randint(0, 200)), *text, *rng.choices(words, k=rng.randint(0, 200))])
+        want, got = held_by_windows(text, templates), {x[0] for x in scanner.scan(text)}
+        assert got <= set(want)
+        wanted, found = wanted + len(want), found + len(got)
+    assert wanted > 200 and found >= 0.999 * wanted
+
+
+def test_more_templates_than_one_pass_takes(spark, monkeypatch):
+    rows = [(k, f"x {text} y") for k, (_, text) in enumerate(license_scan.ALL)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    scan = lambda: Counter(map(tuple, license_scan.scan_licenses(frame, license_scan.ALL, short=True).collect()))
+    whole = scan()
+    monkeypatch.setattr(license_scan, "TOGETHER", 7)
+    assert scan() == whole
+
+
 def test_license_scan(spark, documents_on_disk, empty):
     rng = random.Random(9)
     filler = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "licensed", "under", "the"]) for _ in range(n))
@@ -357,16 +401,8 @@ def test_license_scan(spark, documents_on_disk, empty):
         got[r.doc_id][r.license_id] = r.matched
         words = re.findall(r"\w+", dict(rows)[r.doc_id].lower())
         assert 0 <= r.start_word < r.end_word <= len(words) and r.containment == r.matched / r.shingles >= 0.8
-    scanner = license_scan.Scanner(license_scan.TEMPLATES)
     for i, text in rows:
-        s, want = license_scan.sequence(text or "", 5), {}
-        for c, templates in scanner.classes.items():
-            for name, wanted, _ in templates:
-                for k in range(0, len(s), c):
-                    n = len(np.intersect1d(s[k : k + 2 * c], wanted))
-                    if 100 * n >= 80 * len(wanted):
-                        want[name] = max(n, want.get(name, 0))
-        assert got[i] == want
+        assert got[i] == held_by_windows(text or "", license_scan.TEMPLATES)
     assert got[500] and license_scan.scan_licenses(documents_on_disk).count() == 0 == license_scan.scan_licenses(empty).count()
     with pytest.raises(ValueError, match="fewer"):
         license_scan.Scanner([("short", "MIT License")])
