@@ -18,8 +18,12 @@ Steps, none of which holds a group of documents in one task:
 1. texts are merged if equal, partly before the shuffle, and written once with an id;
 2. one pass over the texts makes signatures; one sort by signature keeps those of two texts or more;
 3. each bucket of a signature has a centre, the text that shares most signatures with others. The
-   members of all buckets of a centre are its group. They are compared to the centre, and measured
-   against a reference set: what most of a few members of the group hold;
+   members of all buckets of a centre are its group. Relatives well below the threshold share
+   signatures too, so members first meet as sketches, a bit for each of some cells of the domain:
+   whether the set has an odd number of elements there. Sets differ in at least as many elements as
+   their sketches in bits, so a member whose sketch is too far from all others is linked to none and
+   leaves the group, its text unread. Groups of over SKETCHED members stay whole. The others are
+   compared to the centre, and measured against a reference set: what most of a few members hold;
 4. what a group has in common is now set aside. With D(x) the difference of x and the reference,
    x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| elements. So the member nearest to the
    reference is linked to all that differ little from it, and any other linked pair has to share
@@ -54,6 +58,8 @@ from .common import Scratch, filtered_early
 FAN = 8
 #: Members of a group that vote on its reference, and members that are measured in one place.
 VOTERS, TOGETHER = 8, 256
+#: Members of a group whose sketches all meet in one place.
+SKETCHED = 1024
 _MASK = (1 << 64) - 1
 
 
@@ -172,6 +178,94 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(elements: np.ndarray, percent: int) -> np.ndarray:
+    """A bit for each of 2^j cells of the domain, at least 64 and 8 times the elements in which linked sets of this
+    size differ: whether the set has an odd number of elements there. Cells of a shorter sketch are unions of these."""
+    n = len(elements)
+    cells = 64
+    while cells < 8 * (2 * n * (100 - percent) // (100 + percent)):
+        cells *= 2
+    odd = np.bincount((_mix(elements, 5) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (a row each) as they are with 64 * ``words`` cells."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def with_partner(sizes: np.ndarray, sketches: list[np.ndarray], comps: np.ndarray, percent: int) -> np.ndarray:
+    """Which of some sets may, by sizes and sketches, be linked to another of them in another component."""
+    kept = np.zeros(len(sizes), bool)
+    words = np.array([len(s) for s in sketches])
+    for w in np.unique(words):
+        at = np.flatnonzero(words >= w)
+        seen = np.concatenate([folded(np.stack([sketches[k] for k in at[words[at] == v]]), w) for v in np.unique(words[at])])
+        at = np.concatenate([at[words[at] == v] for v in np.unique(words[at])])
+        n, comp = sizes[at], comps[at]
+        for k in range(int((words == w).sum())):  # those with sketches of just this length come first
+            near = (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+            near[:k] = False
+            near = np.flatnonzero(near)
+            if not len(near):
+                continue
+            apart = np.bitwise_count(seen[near] ^ seen[k]).sum(axis=1, dtype=np.int64)
+            near = near[apart <= (n[near] + n[k]) * (100 - percent) // (100 + percent)]
+            if len(near):
+                kept[at[k]] = True
+                kept[at[near]] = True
+    return kept
+
+
+def _sketch(size: int, percent: int) -> Callable:
+    """(id, t) -> (id, n, s): the size and the sketch of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, found = [], []
+            for text in batch.column("t"):
+                elements = shingles(text.as_py(), size)
+                sizes.append(len(elements))
+                found.append(sketch(elements, percent).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["id", "n", "s"])
+
+    return run
+
+
+def _partnered(percent: int) -> Callable:
+    """Rows (c, id, comp, n, s) in order of c -> (c, id) of members that :func:`with_partner` finds in their group."""
+
+    def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = table.column("c").to_numpy()
+        ends = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1), len(c)]
+        sizes, comps = table.column("n").to_numpy(), table.column("comp").to_numpy()
+        sketches = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
+        kept = [with_partner(sizes[i:j], sketches[i:j], comps[i:j], percent) for i, j in zip(ends, ends[1:], strict=False)]
+        yield from table.select(["c", "id"]).filter(pa.array(np.concatenate(kept))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the group whose end is still to come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = batch.column("c").to_numpy()
+            last = int(np.searchsorted(c, c[-1]))  # where the batch's last group begins
+            if last or (held and held[-1].column("c")[-1].as_py() != c[0]):
+                done = pa.Table.from_batches([*held, batch.slice(0, last)])
+                held = [batch.slice(last)]
+                if done.num_rows:
+                    yield from of(done)
+            else:
+                held.append(batch)
+        if held:
+            yield from of(pa.Table.from_batches(held))
+
+    return run
+
+
 def _sign(size: int, percent: int) -> Callable:
     """(id, t) -> rows (key, id, n): signatures with n null, and one row per text with the size of its set."""
 
@@ -350,12 +444,17 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
     with filtered_early(texts.sparkSession):
         texts = scratch.cut(texts.join(weights.where("w > 0").select("id"), "id", "left_semi").select("id", "t"), "held")
     active = scratch.cut(buckets.join(weights, "id").select("key", "id", "w"), "active")
+    sketches = scratch.cut(texts.mapInArrow(_sketch(size, percent), "id long, n long, s binary"), "sketches")
     components = _Components(scratch)
     while not active.isEmpty():
         # of equal weights the same text everywhere, so that buckets share their centres
         order = F.struct("w", F.xxhash64("id").alias("x"))
         centres = scratch.cut(active.groupBy("key").agg(F.max_by("id", order).alias("c")), "centres")
-        groups = scratch.cut(active.join(centres, "key").select("c", "id").distinct(), "groups")
+        wide = scratch.cut(active.join(centres, "key").select("c", "id").distinct(), "groups")
+        groups = _narrowed(wide, sketches, components, percent, scratch)
+        with filtered_early(texts.sparkSession):
+            needed = groups.select("id").union(groups.select(F.col("c").alias("id"))).distinct()
+            texts, all_texts = scratch.cut(texts.join(needed, "id", "left_semi").select("id", "t"), "held"), texts
         measured = _measured(groups, texts, size, percent, scratch)
         nearest = scratch.cut(measured.groupBy("c").agg(F.max_by("id", F.struct("a", "id")).alias("near"), F.max("a").alias("top")), "nearest")
         star = measured.where("linked and id <> c").select(F.col("c").alias("a"), F.col("id").alias("b"))
@@ -378,13 +477,24 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
 
         rest = components.of(fewer.where(many).select("key", "id", (F.col("side") != _MAIN).cast("long").alias("w")).distinct(), "id", "comp")
         mixed = scratch.cut(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        done = (active, centres, groups, measured, nearest, members, others, entries, shared, live, fewer, pairs, mixed)
+        done = (active, centres, wide, groups, all_texts, measured, nearest, members, others, entries, shared, live, fewer, pairs, mixed)
         active = scratch.cut(rest.drop("comp").join(mixed, "key", "left_semi"), "active")
         scratch.free(*done)
         fan *= 2
     return about, components.labels
 
 
+def _narrowed(groups: DataFrame, sketches: DataFrame, components: _Components, percent: int, scratch: Scratch) -> DataFrame:
+    """Members (c, id) of groups that may have a linked partner in their group, in another component as yet.
+
+    Groups of over SKETCHED members are returned whole."""
+    sizes = scratch.cut(groups.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    groups = groups.join(sizes, "c")
+    small = components.of(groups.where(F.col("m") <= SKETCHED).select("c", "id"), "id", "comp").join(sketches, "id").select("c", "id", "comp", "n", "s")
+    small = small.repartition("c").sortWithinPartitions("c").mapInArrow(_partnered(percent), "c long, id long")
+    return scratch.cut(groups.where(F.col("m") > SKETCHED).select("c", "id").unionByName(small), "narrowed")
+
+
 def _measured(groups: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """:func:`_measure` of every member of every group (c, id); groups are dealt out in parts."""
     sizes = scratch.cut(groups.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "sizes")

@@ -331,6 +331,55 @@ def test_linked_sets_share_a_signature(percent):
             assert len(np.intersect1d(enum.signatures(a), enum.signatures(b)))
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_sketches_hide_no_link(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(60):
+        a = np.unique(rng.integers(0, 1 << 63, int(np.exp(rng.uniform(0, 7))), dtype=np.uint64))
+        sets.append(a)
+        for share in rng.uniform(0, 0.5, 3):
+            fresh = rng.integers(0, 1 << 63, int(share * len(a) * rng.uniform(0, 1)), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([rng.permutation(a)[int(share * len(a)) :], fresh])))
+    sets = [s for s in sets if len(s)]
+    comps = rng.integers(0, 100, len(sets))
+    sizes, sketches = np.array([len(s) for s in sets]), [jaccard_join.sketch(s, percent) for s in sets]
+    assert len({len(s) for s in sketches}) > 2
+    kept = jaccard_join.with_partner(sizes, sketches, comps, percent)
+    some = rng.permutation(len(sets))
+    assert (jaccard_join.with_partner(sizes[some], [sketches[k] for k in some], comps[some], percent) == kept[some]).all()
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if comps[a] != comps[b] and jaccard_join.linked(sets[a], sets[b], percent)]
+    assert len(links) > 20 and all(kept[a] and kept[b] for a, b in links)
+    assert kept.sum() < len(sets) * 0.95
+    a, b = sets[0], sets[4]
+    x, y = (s.reshape(1, -1) for s in sketches[0:5:4])
+    least = min(x.size, y.size)
+    assert np.bitwise_count(jaccard_join.folded(x, least) ^ jaccard_join.folded(y, least)).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("sketched", [1024, 3])
+def test_relatives_below_the_threshold_are_not_measured(spark, tmp_path, monkeypatch, sketched):
+    """Families whose members share signatures, few of them linked; the same result where groups stay whole."""
+    rng = random.Random(sketched)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    rows = []
+    for _ in range(6):
+        base = [word() for _ in range(300)]
+        for k in range(20):
+            text = [word() if rng.random() < 0.1 else w for w in base]
+            rows.append((len(rows), " ".join(text)))
+            if k % 10 == 0:
+                rows.append((len(rows), " ".join([*text[:-1], word()])))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    measured, before = [], jaccard_join._measured
+    monkeypatch.setattr(jaccard_join, "_measured", lambda groups, *rest: (measured.append(groups.select("id").distinct().count()), before(groups, *rest))[1])
+    monkeypatch.setattr(jaccard_join, "SKETCHED", sketched)
+    got = jaccard_join.jaccard_components(spark.read.parquet(path), size=5, percent=80).collect()
+    assert Counter(map(tuple, got)) == Counter(slow_components(rows, 5, 80))
+    assert (measured[0] < 40) == (sketched > 3)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
