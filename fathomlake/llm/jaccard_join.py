@@ -22,15 +22,17 @@ Steps, none of which holds a group of documents in one task:
    signatures too, so members first meet as sketches, a bit for each of some cells of the domain:
    whether the set has an odd number of elements there. Sets differ in at least as many elements as
    their sketches in bits, so a member whose sketch is too far from all others is linked to none and
-   leaves the group, its text unread. Groups of over SKETCHED members stay whole. The others are
-   compared to the centre, and measured against a reference set: what most of a few members hold;
+   leaves the group, its text unread. Groups of over SKETCHED members meet in pairs of tiles, and
+   those beyond TILES tiles stay whole. The members left are compared to the centre, and measured
+   against a reference set: what most of a few members hold;
 4. what a group has in common is now set aside. With D(x) the difference of x and the reference,
    x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)| elements. So the member nearest to the
    reference is linked to all that differ little from it, and any other linked pair has to share
    t elements of D. In any fixed order of D (here rare elements first) one of them is among the
    first |D| - t + 1 of both: a key far rarer than a signature, since copies that were changed
-   independently have different changes. Entries that no partner in their bucket can use go, by
-   the sizes of D;
+   independently have different changes. Sketches meet once more before that, as the links found
+   so far leave most members without a partner in another component; these have no entries. Entries
+   that no partner in their bucket can use go, by the sizes of D;
 5. buckets with few texts outside the group's main component are compared, those to the others;
    the rest are buckets for step 3 again, with the bound on "few" doubled, so that this ends.
 
@@ -58,8 +60,9 @@ from .common import Scratch, filtered_early
 FAN = 8
 #: Members of a group that vote on its reference, and members that are measured in one place.
 VOTERS, TOGETHER = 8, 256
-#: Members of a group whose sketches all meet in one place.
-SKETCHED = 1024
+#: Members of a group whose sketches all meet in one place, and tiles of half as many that a larger group may be cut
+#: into, to meet two by two.
+SKETCHED, TILES = 1024, 8
 _MASK = (1 << 64) - 1
 
 
@@ -236,10 +239,10 @@ def _sketch(size: int, percent: int) -> Callable:
 
 
 def _partnered(percent: int) -> Callable:
-    """Rows (c, id, comp, n, s) in order of c -> (c, id) of members that :func:`with_partner` finds in their group."""
+    """Rows (g, c, id, comp, n, s) in order of g -> (c, id) of rows that :func:`with_partner` finds among those of their g."""
 
     def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        c = table.column("c").to_numpy()
+        c = table.column("g").to_numpy()
         ends = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1), len(c)]
         sizes, comps = table.column("n").to_numpy(), table.column("comp").to_numpy()
         sketches = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
@@ -251,9 +254,9 @@ def _partnered(percent: int) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = batch.column("c").to_numpy()
+            c = batch.column("g").to_numpy()
             last = int(np.searchsorted(c, c[-1]))  # where the batch's last group begins
-            if last or (held and held[-1].column("c")[-1].as_py() != c[0]):
+            if last or (held and held[-1].column("g")[-1].as_py() != c[0]):
                 done = pa.Table.from_batches([*held, batch.slice(0, last)])
                 held = [batch.slice(last)]
                 if done.num_rows:
@@ -464,6 +467,9 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
         main = components.of(nearest, "near", "main").select("c", "top", "main")
         members = components.of(measured.select("c", "id", "d", "a", "p").join(main, "c"), "id", "comp").withColumn("other", F.col("comp") != F.col("main"))
         members = scratch.cut(members.drop("main"), "members")  # read again, so that sums over a group combine before they are shuffled
+        several = scratch.cut(members.where("other").select("c").distinct(), "several")
+        apart = _narrowed(members.join(several, "c").select("c", "id"), sketches, components, percent, scratch)
+        members, all_members = scratch.cut(members.join(apart, ["c", "id"]), "members"), members
         others = scratch.cut(members.where("other").groupBy("c").agg(F.max("a").alias("top_other")), "others")
         entries = scratch.cut(_entries(members.join(others, "c"), percent), "entries")
         shared = _mixed(entries, scratch)
@@ -477,7 +483,7 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
 
         rest = components.of(fewer.where(many).select("key", "id", (F.col("side") != _MAIN).cast("long").alias("w")).distinct(), "id", "comp")
         mixed = scratch.cut(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"), "mixed")
-        done = (active, centres, wide, groups, all_texts, measured, nearest, members, others, entries, shared, live, fewer, pairs, mixed)
+        done = (active, centres, wide, groups, all_texts, measured, nearest, all_members, several, apart, members, others, entries, shared, live, fewer, pairs, mixed)
         active = scratch.cut(rest.drop("comp").join(mixed, "key", "left_semi"), "active")
         scratch.free(*done)
         fan *= 2
@@ -487,12 +493,17 @@ def _links(texts: DataFrame, size: int, percent: int, scratch: Scratch, fan: int
 def _narrowed(groups: DataFrame, sketches: DataFrame, components: _Components, percent: int, scratch: Scratch) -> DataFrame:
     """Members (c, id) of groups that may have a linked partner in their group, in another component as yet.
 
-    Groups of over SKETCHED members are returned whole."""
+    Sketches of a group of over SKETCHED members meet in pairs of tiles, each member in at most TILES - 1 of them;
+    groups too large for TILES tiles are returned whole."""
     sizes = scratch.cut(groups.groupBy("c").agg(F.count(F.lit(1)).alias("m")), "sizes")
-    groups = groups.join(sizes, "c")
-    small = components.of(groups.where(F.col("m") <= SKETCHED).select("c", "id"), "id", "comp").join(sketches, "id").select("c", "id", "comp", "n", "s")
-    small = small.repartition("c").sortWithinPartitions("c").mapInArrow(_partnered(percent), "c long, id long")
-    return scratch.cut(groups.where(F.col("m") > SKETCHED).select("c", "id").unionByName(small), "narrowed")
+    groups = groups.join(sizes, "c").withColumn("tiles", F.when(F.col("m") <= SKETCHED, 1).otherwise(F.ceil(2 * F.col("m") / SKETCHED)))
+    met = components.of(groups.where(F.col("tiles") <= TILES).select("c", "id", "tiles"), "id", "comp").join(sketches, "id")
+    tile = F.pmod(F.xxhash64("id", F.lit(3)), F.col("tiles"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda k: (k != tile) | (F.col("tiles") == 1))
+    met = met.select("c", "id", "comp", "n", "s", tile.alias("tile"), F.explode(others).alias("with"))
+    met = met.select(F.xxhash64("c", F.least("tile", "with"), F.greatest("tile", "with")).alias("g"), "c", "id", "comp", "n", "s")
+    met = met.repartition("g").sortWithinPartitions("g").mapInArrow(_partnered(percent), "c long, id long").distinct()
+    return scratch.cut(groups.where(F.col("tiles") > TILES).select("c", "id").unionByName(met), "narrowed")
 
 
 def _measured(groups: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:

@@ -380,6 +380,50 @@ def test_relatives_below_the_threshold_are_not_measured(spark, tmp_path, monkeyp
     assert (measured[0] < 40) == (sketched > 3)
 
 
+def test_sketches_meet_in_tiles(spark, tmp_path, monkeypatch):
+    """Groups of more members than meet in one place: relatives leave them, and no link is lost."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(300)]
+        for k in range(40):
+            text = [word() if rng.random() < 0.1 else w for w in base]
+            rows.append((len(rows), " ".join(text)))
+            if k % 10 == 0:
+                rows.append((len(rows), " ".join([*text[:-1], word()])))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    measured, before = [], jaccard_join._measured
+    monkeypatch.setattr(jaccard_join, "_measured", lambda groups, *rest: (measured.append(groups.select("id").distinct().count()), before(groups, *rest))[1])
+    monkeypatch.setattr(jaccard_join, "SKETCHED", 16)
+    got = jaccard_join.jaccard_components(spark.read.parquet(path), size=5, percent=80).collect()
+    want = slow_components(rows, 5, 80)
+    assert Counter(map(tuple, got)) == Counter(want) and max(Counter(c for _, _, c in want).values()) > 1
+    assert measured[0] < 40
+
+
+def test_members_joined_by_their_centre_have_no_entries(spark, tmp_path, monkeypatch):
+    """A large family of copies and a few pairs of relatives: only the pairs are still to be looked up."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    base, rows, far = [word() for _ in range(300)], [], set()
+    for _ in range(60):
+        rows.append((len(rows), " ".join(word() if rng.random() < 0.01 else w for w in base)))
+    for _ in range(4):
+        text = [word() if rng.random() < 0.12 else w for w in base]
+        for _ in range(2):
+            far.add(len(rows))
+            rows.append((len(rows), " ".join([*text[:-1], word()])))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    seen, before = [], jaccard_join._entries
+    monkeypatch.setattr(jaccard_join, "_entries", lambda members, percent: (seen.append(members.select("id").distinct().count()), before(members, percent))[1])
+    got = jaccard_join.jaccard_components(spark.read.parquet(path), size=5, percent=80).collect()
+    assert Counter(map(tuple, got)) == Counter(slow_components(rows, 5, 80))
+    assert max(seen) <= len(far)
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
